@@ -1 +1 @@
-"""Part of loomwork."""
+"""Column expressions."""
