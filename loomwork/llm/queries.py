@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.formatting_duplicates import collapse, formatting_groups
 from loomwork.llm.language import doubtful_languages, identify
+from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_classes
+from loomwork.llm.leakage import leaked_passages
 from loomwork.sources.tables import id_number, id_text, table
 
 
@@ -48,9 +50,93 @@ def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
     return collapse(_messages(spark, folder)).groupBy("copies").agg(F.count("*").alias("n_texts"))
 
 
+def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    golden = table(spark, folder, "apple_support_intent_golden_set").select(id_number("tweet_id").alias("id"), "text")
+    train = table(spark, folder, "apple_support_intent_training_candidates").select(id_number("tweet_id").alias("id"), "text")
+    return golden, train
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out messages that occur again, exactly or nearly, among the training candidates."""
+    pairs = cross_split_overlaps(*_splits(spark, folder))
+    return pairs.select(id_text("eval_id").alias("golden_tweet_id"), id_text("train_id").alias("train_tweet_id")).distinct()
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps by evaluation split and origin of the candidate."""
+    pairs = cross_split_overlaps(*_splits(spark, folder))
+    golden = table(spark, folder, "apple_support_intent_golden_set").select(id_number("tweet_id").alias("eval_id"), "evaluation_split")
+    origin = table(spark, folder, "apple_support_intent_training_candidates").select(
+        id_number("tweet_id").alias("train_id"), "selection_reason"
+    ).distinct()
+    return pairs.join(golden.distinct(), "eval_id").join(origin, "train_id").groupBy("evaluation_split", "selection_reason").agg(
+        F.countDistinct("eval_id").alias("n_golden"),
+        F.countDistinct("train_id").alias("n_train"),
+        F.countDistinct("eval_id", "train_id").alias("n_pairs"),
+    )
+
+
+def p4_weighted(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of equal word sets of both splits whose rarity-weighted cosine is 0.8 or more, by twentieths."""
+    golden, train = _splits(spark, folder)
+    pairs = cosine_pairs(word_classes(golden)[1], word_classes(train)[1], 0.8, "idf")
+    return pairs.groupBy(F.least(F.floor(F.col("cosine") * 20 + 1e-9), F.lit(20)).alias("twentieth")).agg(F.count("*").alias("n_pairs"))
+
+
+def _held_out(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "benchmark_cases").select(F.col("benchmark_id").alias("item"), F.col("customer_message").alias("text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share twelve words in a row with a held-out item."""
+    found = leaked_passages(table(spark, folder, "documents"), _held_out(spark, folder))
+    return found.select("doc_id", F.col("item").alias("benchmark_id"))
+
+
+def p9_proximity(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with twelve words of an item near the places they have in it (three words of play)."""
+    found = leaked_passages(table(spark, folder, "documents"), _held_out(spark, folder), slack=3)
+    return found.select("doc_id", F.col("item").alias("benchmark_id"), "n_matched", "longest_run")
+
+
+_DECODED = (
+    "replace(replace(replace(replace(replace(replace(coalesce({0},''), '&#39;', ''''), '&quot;', '\"'), "
+    "'&lt;', '<'), '&gt;', '>'), '&AMP;', '&'), '&amp;', '&')"
+)
+_WORDS = "regexp_extract_all(regexp_replace(lower({0}), '[''’‘ʼ＇]', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+_BARE = "regexp_replace(regexp_replace({0}, '(?i)https?://\\S+', ' ', 'g'), '@[\\p{{L}}\\p{{N}}_]+', ' ', 'g')"
+
+
+def _sql_words(column: str, bare: bool) -> str:
+    return _WORDS.format(_BARE.format(_DECODED.format(column)) if bare else _DECODED.format(column))
+
+
+_P4_PAIRS = f"""g as (select distinct cast(tweet_id as bigint) id, list_distinct({_sql_words('text', True)}) w from apple_support_intent_golden_set),
+t as (select distinct cast(tweet_id as bigint) id, list_distinct({_sql_words('text', True)}) w from apple_support_intent_training_candidates),
+pairs as (select g.id gid, t.id tid from g, t where len(g.w) > 0 and len(t.w) > 0
+ and 2 * len(list_intersect(g.w, t.w)) >= 0.8 * (len(g.w) + len(t.w)) - 1e-9)"""
+P4_SQL = f"""with {_P4_PAIRS}
+select distinct lpad(cast(gid as varchar), 10, '0') golden_tweet_id, lpad(cast(tid as varchar), 10, '0') train_tweet_id from pairs"""
+P4_REPORT_SQL = f"""with {_P4_PAIRS}
+select evaluation_split, selection_reason, count(distinct gid) n_golden, count(distinct tid) n_train, count(distinct (gid, tid)) n_pairs
+from pairs join (select distinct cast(tweet_id as bigint) gid, evaluation_split from apple_support_intent_golden_set) using (gid)
+join (select distinct cast(tweet_id as bigint) tid, selection_reason from apple_support_intent_training_candidates) using (tid)
+group by 1, 2"""
+P9_SQL = f"""with d as (select doc_id, {_sql_words('text', False)} w from documents),
+i as (select benchmark_id, {_sql_words('customer_message', False)} w from benchmark_cases),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) g from d where len(w) >= 12),
+ig as (select distinct benchmark_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) g from i where len(w) >= 12)
+select distinct doc_id, benchmark_id from dg join ig using (g)"""
+
+
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
     "p5_found": (p5_found, None),
     "p5_copies": (p5_copies, None),
+    "p4_found": (p4_found, P4_SQL),
+    "p4_report": (p4_report, P4_REPORT_SQL),
+    "p4_weighted": (p4_weighted, None),
+    "p9_found": (p9_found, P9_SQL),
+    "p9_proximity": (p9_proximity, None),
 }
