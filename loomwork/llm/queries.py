@@ -9,6 +9,7 @@ from loomwork.llm.formatting_duplicates import collapse, formatting_groups
 from loomwork.llm.language import doubtful_languages, identify
 from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_classes
 from loomwork.llm.leakage import leaked_passages
+from loomwork.llm.truncation import truncated, truncation_by_source
 from loomwork.sources.tables import id_number, id_text, table
 
 
@@ -129,6 +130,16 @@ ig as (select distinct benchmark_id, unnest(list_transform(range(1, len(w) - 10)
 select distinct doc_id, benchmark_id from dg join ig using (g)"""
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return truncated(table(spark, folder, "documents")).filter("cut").select("doc_id").distinct()
+
+
+def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    return truncation_by_source(truncated(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
@@ -139,4 +150,6 @@ QUERIES = {
     "p4_weighted": (p4_weighted, None),
     "p9_found": (p9_found, P9_SQL),
     "p9_proximity": (p9_proximity, None),
+    "p10_found": (p10_found, None),
+    "p10_by_source": (p10_by_source, None),
 }
