@@ -10,6 +10,7 @@ from loomwork.llm.language import doubtful_languages, identify
 from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_classes
 from loomwork.llm.leakage import leaked_passages
 from loomwork.llm.truncation import truncated, truncation_by_source
+from loomwork.llm.personal_data import redact_rows, types_found
 from loomwork.sources.tables import id_number, id_text, table
 
 
@@ -140,6 +141,21 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return truncation_by_source(truncated(table(spark, folder, "documents")))
 
 
+def _personal(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "twcs").select(id_number("tweet_id").alias("key"), "text").distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Types of personal details in each message."""
+    return types_found(_personal(spark, folder)).select(id_text("key").alias("tweet_id"), "pii_type")
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that hold personal details, with pseudonymous placeholders."""
+    rows = redact_rows(_personal(spark, folder)).filter(F.size("types") > 0)
+    return rows.select(id_text("key").alias("tweet_id"), "redacted", F.array_join("types", ",").alias("types"))
+
+
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
@@ -152,4 +168,6 @@ QUERIES = {
     "p9_proximity": (p9_proximity, None),
     "p10_found": (p10_found, None),
     "p10_by_source": (p10_by_source, None),
+    "p6_found": (p6_found, None),
+    "p6_redacted": (p6_redacted, None),
 }
