@@ -11,6 +11,7 @@ from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_cl
 from loomwork.llm.leakage import leaked_passages
 from loomwork.llm.truncation import truncated, truncation_by_source
 from loomwork.llm.personal_data import redact_rows, types_found
+from loomwork.llm.conversations import rebuild_conversations
 from loomwork.sources.tables import id_number, id_text, table
 
 
@@ -156,6 +157,44 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(id_text("key").alias("tweet_id"), "redacted", F.array_join("types", ",").alias("types"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message of every kept conversation, in order; times as sent."""
+    rows = rebuild_conversations(table(spark, folder, "twcs"))
+    return rows.select(id_text("root").alias("root_tweet_id"), "turn", id_text("id").alias("tweet_id"), "role")
+
+
+def p3_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept conversations by length when sender clocks are corrected by up to a day."""
+    rows = rebuild_conversations(table(spark, folder, "twcs"), max_offset=86_400)
+    sizes = rows.groupBy("root").agg(
+        F.count("*").alias("n_turns"), F.count(F.when(F.col("t") != F.col("time"), 1)).alias("n_moved")
+    )
+    return sizes.groupBy("n_turns").agg(F.count("*").alias("n_conversations"), F.sum("n_moved").alias("n_moved"))
+
+
+_ID_SQL = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,18}})(\\.0+)?\\s*$', 1) as bigint)"
+_TIME_SQL = (
+    "case when regexp_matches(trim(coalesce(created_at,'')), '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \\d{2} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4} \\d{4}$') "
+    "then epoch(try_strptime(substr(trim(created_at), 5), '%b %d %H:%M:%S %z %Y')) end"
+)
+_CONTENT_SQL = f"regexp_matches({_BARE.format(_DECODED.format('text'))}, '[\\p{{L}}\\p{{N}}]')"
+P3_SQL = f"""with recursive facts as (
+  select {_ID_SQL.format('tweet_id')} id, max({_ID_SQL.format('in_response_to_tweet_id')}) parent,
+   max(case when lower(trim(coalesce(inbound,''))) in ('true','1') then 'customer' when lower(trim(coalesce(inbound,''))) in ('false','0') then 'brand'
+     when author_id is null or regexp_matches(author_id, '^\\s*\\d+\\s*$') then 'customer' else 'brand' end) role,
+   coalesce(min({_TIME_SQL}), 1e18) t, bool_or(coalesce({_CONTENT_SQL}, false)) content
+  from twcs group by 1 having id is not null),
+linked as (select n.*, p.id is not null ok from facts n left join facts p on n.parent = p.id),
+down(id, root, broken) as (select id, id, parent is not null from linked where not ok
+  union all select l.id, d.root, d.broken from linked l join down d on l.parent = d.id where l.ok),
+m as (select f.*, d.root, d.broken from facts f join down d using (id)),
+firsts as (select root, min(row(t, id)) filter (where role = 'customer' and content) a, max(row(t, id)) filter (where role = 'brand' and content) b
+  from m where not broken group by 1)
+select lpad(cast(m.root as varchar), 10, '0') root_tweet_id, cast(row_number() over (partition by m.root order by m.t, m.id) as int) turn,
+  lpad(cast(m.id as varchar), 10, '0') tweet_id, m.role
+from m join firsts f on m.root = f.root where not m.broken and f.b > f.a"""
+
+
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
@@ -170,4 +209,6 @@ QUERIES = {
     "p10_by_source": (p10_by_source, None),
     "p6_found": (p6_found, None),
     "p6_redacted": (p6_redacted, None),
+    "p3_found": (p3_found, P3_SQL),
+    "p3_corrected": (p3_corrected, None),
 }
