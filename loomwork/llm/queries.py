@@ -12,6 +12,8 @@ from loomwork.llm.leakage import leaked_passages
 from loomwork.llm.truncation import truncated, truncation_by_source
 from loomwork.llm.personal_data import redact_rows, types_found
 from loomwork.llm.conversations import rebuild_conversations
+from loomwork.llm.packing import fill_report, pack, token_sizes
+from loomwork.session import written
 from loomwork.sources.tables import id_number, id_text, table
 
 
@@ -195,6 +197,17 @@ select lpad(cast(m.root as varchar), 10, '0') root_tweet_id, cast(row_number() o
 from m join firsts f on m.root = f.root where not m.broken and f.b > f.a"""
 
 
+def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into the containers of every budget."""
+    sizes = written(token_sizes(table(spark, folder, "documents")), "token-sizes")
+    return pack(sizes, table(spark, folder, "context_budgets"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of every budget are."""
+    return fill_report(p8_bins(spark, folder), table(spark, folder, "context_budgets"))
+
+
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
@@ -211,4 +224,6 @@ QUERIES = {
     "p6_redacted": (p6_redacted, None),
     "p3_found": (p3_found, P3_SQL),
     "p3_corrected": (p3_corrected, None),
+    "p8_bins": (p8_bins, None),
+    "p8_fill": (p8_fill, None),
 }
