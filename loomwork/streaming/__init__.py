@@ -1 +1 @@
-"""Part of loomwork."""
+"""Structured Streaming versions of incremental operators."""
