@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Named and numbered character references that are decoded, the ampersand last.
 ENTITIES = (
-    ("(?i)&lt;?(?![a-z])", "<"),
-    ("(?i)&gt;?(?![a-z])", ">"),
+    ("(?i)&lt;|&lt(?![a-z;])", "<"),
+    ("(?i)&gt;|&gt(?![a-z;])", ">"),
     ("(?i)&quot;?|&#0*34;?|&#x0*22;?", '"'),
     ("(?i)&apos;|&#0*39;?|&#x0*27;?", "'"),
     ("(?i)&nbsp;?|&#0*160;?|&#xa0;?", " "),
@@ -20,7 +20,7 @@ ENTITIES = (
     ("(?i)&rdquo;|&#8221;", "”"),
     ("(?i)&ldquo;|&#8220;", "“"),
     ("(?i)&euro;|&#8364;", "€"),
-    ("(?i)&amp;?(?![a-z])|&#0*38;?|&#x26;?", "&"),
+    ("(?i)&amp;|&amp(?![a-z;])|&#0*38;?|&#x26;?", "&"),
 )
 
 LINK = r"(?i)https?://\S+"

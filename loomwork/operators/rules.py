@@ -81,11 +81,15 @@ def weak_labels(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     short = (F.length("__n") < 8) | (F.size(F.split("__n", " ")) <= 1)
     clash = second.isNotNull() & ((top["neg"] == second["neg"]) | ((top["neg"] <= -2) & (second["neg"] <= -2)))
     rivals = F.array_join(F.transform(F.filter("__s", lambda x: x["neg"] <= second["neg"]), lambda x: x["label"]), ",")
+    def verdict(label, source, reason, confidence):
+        return F.struct(label.alias("label"), F.lit(source).alias("source"), reason.alias("reason"), confidence.alias("confidence"))
+
+    fallback, low = F.lit(FALLBACK), F.lit("low")
     pick = (
-        F.when(short, F.struct(F.lit(FALLBACK).alias("label"), F.lit("fallback").alias("source"), F.lit("too_short_or_conversational").alias("reason"), F.lit("low").alias("confidence")))
-        .when(F.size("__s") == 0, F.struct(F.lit(FALLBACK), F.lit("fallback"), F.lit("no_matching_rules_found"), F.lit("low")))
-        .when(clash, F.struct(F.lit(REVIEW), F.lit("rule"), F.concat(F.lit("ambiguous:"), rivals), F.lit("low")))
-        .otherwise(F.struct(top["label"], F.lit("rule"), F.concat(F.lit("score="), (-top["neg"]).cast("string")), F.when(top["neg"] <= -2, "high").otherwise("medium")))
+        F.when(short, verdict(fallback, "fallback", F.lit("too_short_or_conversational"), low))
+        .when(F.size("__s") == 0, verdict(fallback, "fallback", F.lit("no_matching_rules_found"), low))
+        .when(clash, verdict(F.lit(REVIEW), "rule", F.concat(F.lit("ambiguous:"), rivals), low))
+        .otherwise(verdict(top["label"], "rule", F.concat(F.lit("score="), (-top["neg"]).cast("string")), F.when(top["neg"] <= -2, "high").otherwise("medium")))
     )
     matched = F.array_join(F.array_sort(F.transform("__s", lambda x: x["label"])), "|")
     return s.withColumn("__p", pick).select(

@@ -6,6 +6,6 @@ from __future__ import annotations
 
 def catalogue() -> dict[str, tuple]:
     """Name -> (callable, SQL or None) of all queries of the core."""
-    from loomwork.plans import general
+    from loomwork.plans import general, reference
 
-    return dict(general.QUERIES)
+    return general.QUERIES | reference.QUERIES
