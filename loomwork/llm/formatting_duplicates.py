@@ -7,9 +7,9 @@ Method: recursive radix partitioning on canonical bytes.
    input partition with equal bytes become one entry at once, so a text that is a
    third of all records is one entry a partition from here on.
 2. Entries are put into buckets by their first ``step`` bytes.  Buckets above
-   ``bucket_bytes`` are split by the next bytes, until each fits.  A bucket whose
-   entries end within the prefix holds one text only; it cannot be split and needs no
-   splitting, as it has one entry a partition.
+   ``bucket_bytes`` are split by further bytes (as many as before, so that long common
+   prefixes take few rounds) until each fits.  A bucket that holds one text only cannot be
+   split and needs no splitting, as it has one entry a partition.
 3. Whole buckets are gathered into tasks of about ``task_bytes``; each task counts in a
    burst trie with terminal counters, which gives copies and smallest id of each text.
 4. The groups of two and more are joined back to the entries by a 128-bit digest; hot
@@ -148,10 +148,10 @@ def radix_buckets(entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCK
     open_, done, total, level = entries.select("key", "n", "first"), [], 0, 1
     size = F.length("key") + F.lit(48)
     while True:
-        width = step * level
+        width = step * 2 ** (level - 1)  # each split takes as many further bytes as all before it
         prefix = F.substring("key", 1, width)
-        sizes = open_.groupBy(prefix.alias("bucket")).agg(F.sum(size).alias("bytes"), F.max(F.length("key")).alias("longest"))
-        sizes = written(sizes.filter((F.col("bytes") > bucket_bytes) & (F.col("longest") > width)), "radix")
+        sizes = open_.groupBy(prefix.alias("bucket")).agg(F.sum(size).alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        sizes = written(sizes.filter((F.col("bytes") > bucket_bytes) & (F.col("lo") != F.col("hi"))).select("bucket"), "radix")
         if level == 1:
             total = entries.agg(F.sum(size)).first()[0] or 0
         with_prefix = open_.withColumn("bucket", prefix)
