@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.metrics import class_weights
+from loomwork.session import shared_dir, written
 
 #: A model is fitted on at most this many labelled rows, taken in the order of a hash of the id.
 TRAIN_ROWS = 100_000
@@ -77,17 +78,25 @@ def bounded(df: DataFrame, id_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows)
 
 
-def fit_classifier(train: DataFrame, label: str, kind: str = "logistic") -> tuple[PipelineModel, StringIndexerModel]:
+def fit_classifier(train: DataFrame, label: str, kind: str = "logistic", iterations: int = 100) -> tuple[PipelineModel, StringIndexerModel]:
     """A balanced classifier on ``features``; ``kind`` is ``logistic`` or ``svm``."""
     weighted = train.join(F.broadcast(class_weights(train, label)), label)
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
-    rows = index.transform(weighted)
+    # the solver passes over the rows once an iteration: features are made once
+    rows = written(index.transform(weighted).select("features", "__y", "weight"), "training")
     n = max(1, rows.count())
     if kind == "logistic":
-        est = LogisticRegression(labelCol="__y", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / n, maxIter=100)
+        est = LogisticRegression(labelCol="__y", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / n, maxIter=iterations)
     else:
-        est = OneVsRest(labelCol="__y", weightCol="weight", classifier=LinearSVC(standardization=False, regParam=1.0 / n, maxIter=50))
-    return est.fit(rows), index
+        est = OneVsRest(labelCol="__y", weightCol="weight", classifier=LinearSVC(standardization=False, regParam=1.0 / n, maxIter=min(50, iterations)))
+    return _reloaded(est.fit(rows), rows), index
+
+
+def _reloaded(model, rows: DataFrame):
+    """The model as saved and read again: without its training summary, which holds on to the session."""
+    path = f"{shared_dir(rows.sparkSession)}/loomwork/models/{model.uid}"
+    model.write().overwrite().save(path)
+    return type(model).load(path)
 
 
 def predict(model, index: StringIndexerModel, df: DataFrame) -> DataFrame:

@@ -30,7 +30,6 @@ def read_messages_csv(spark: SparkSession, path: str, columns: tuple[str, ...] =
         .option("quote", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("enforceSchema", False)
         .csv(path)
     )
     bad = F.col("_corrupt_record").isNotNull() & (F.size(F.split(F.coalesce("_corrupt_record", F.lit("")), ",")) > len(columns))

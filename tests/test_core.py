@@ -122,7 +122,7 @@ def test_classifier_learns(spark):
     df = spark.createDataFrame(rows, "id string, text string, y string")
     tf = ml.TfIdf(50).fit(df)
     for kind in ("logistic", "svm"):
-        model, index = ml.fit_classifier(tf.transform(df), "y", kind)
+        model, index = ml.fit_classifier(tf.transform(df), "y", kind, iterations=5)
         assert ml.predict(model, index, tf.transform(df)).filter("prediction_label = y").count() == 60
 
 
