@@ -55,6 +55,7 @@ _SIGN_OFF = re.compile(
     r"gracias|saludos|merci|cordialement|danke|grüße|mit freundlichen|obrigad[oa]|groet|bedankt|met vriendelijke|--|__|==|\*\*|\[.*\]|-.*-)",
     re.I,
 )
+_SIGN_LINE = re.compile(r"^(?:(?:many|best|kind|warm)\s)?(?:thanks|thank you|regards|best|cheers|sincerely|yours|gracias|saludos|merci|danke|obrigad[oa]|bedankt)(?:\sin\sadvance)?[,.!]?$", re.I)
 
 
 def _scan(text: str) -> tuple[bool, bool, bool]:
@@ -113,6 +114,8 @@ def ending(text: str) -> dict:
         out["kind"] = "terminated"
     elif _LINK_END.search(pure[-300:]) or _REFERENCE.search(pure[-60:]) or _INITIALS.search(pure[-8:]) or _symbol(pure[-1]):
         out["kind"] = "closing"
+    elif len(line) <= 40 and len(lines := pure[-400:].split("\n")) > 1 and _SIGN_LINE.match(lines[-2].strip()):
+        out["kind"] = "sign-off"
     elif _SIGN_OFF.match(line) and len(line) <= 40 and "\n" in pure and line == tail:
         out["kind"] = "sign-off"
     else:
