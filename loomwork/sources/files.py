@@ -32,7 +32,9 @@ def read_messages_csv(spark: SparkSession, path: str, columns: tuple[str, ...] =
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
     )
-    bad = F.col("_corrupt_record").isNotNull() & (F.size(F.split(F.coalesce("_corrupt_record", F.lit("")), ",")) > len(columns))
+    # fields are counted outside quotes; the first column is named because a scan may not read the raw row alone
+    bare = F.regexp_replace(F.coalesce("_corrupt_record", F.lit("")), r'"(?:[^"]|"")*"', "")
+    bad = (F.size(F.split(bare, ",")) > len(columns)) & (F.length(F.coalesce(F.col(columns[0]), F.lit(""))) >= 0)
     return rows.filter(~bad).drop("_corrupt_record")
 
 
