@@ -71,22 +71,25 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, sche
     r_vec = written(_vectors(r_terms, r_stats), "right-vectors")
     l_pre = _prefix(l_vec, threshold, with_top=False).withColumnRenamed("cls", "l_cls")
     r_pre = _prefix(r_vec, threshold, with_top=True).withColumnRenamed("cls", "r_cls")
-    pairs = r_pre.join(l_pre, "term").select("l_cls", "r_cls").distinct()
-    full = pairs.join(l_vec.select(F.col("cls").alias("l_cls"), F.col("vec").alias("l_vec")), "l_cls").join(
-        r_vec.select(F.col("cls").alias("r_cls"), F.col("vec").alias("r_vec")), "r_cls"
-    )
-    look = F.map_from_entries(F.transform("l_vec", lambda x: F.struct(x["term"], x["wn"])))
-    dots = full.select("l_cls", "r_cls", "r_vec", F.size("l_vec").alias("l_size"), F.size("r_vec").alias("r_size"), look.alias("m"))
-    scored = dots.select(
-        "l_cls",
-        "r_cls",
-        "l_size",
-        "r_size",
-        F.aggregate(
-            "r_vec", F.lit(0.0), lambda a, x: a + x["wn"] * F.coalesce(F.try_element_at(F.col("m"), x["term"]), F.lit(0.0))
-        ).alias("cosine"),
-        F.size(F.filter("r_vec", lambda x: F.map_contains_key("m", x["term"]))).alias("shared"),
-    )
+    # vectors of unit weights reach t only if the shorter has t * t of the longer's terms
+    n_terms = F.size("vec").alias("n")
+    l_n = l_vec.select(F.col("cls").alias("l_cls"), n_terms).withColumnRenamed("n", "l_size")
+    r_n = r_vec.select(F.col("cls").alias("r_cls"), n_terms).withColumnRenamed("n", "r_size")
+    postings = r_pre.join(r_n, "r_cls").join(l_pre.join(l_n, "l_cls"), "term")
+    if scheme == "unit":
+        postings = postings.filter(F.least("l_size", "r_size") >= (threshold * threshold - EPS) * F.greatest("l_size", "r_size"))
+    pairs = written(postings.select("l_cls", "r_cls", "l_size", "r_size").distinct(), "candidates")
+    terms_of = F.transform("vec", lambda x: x["term"])
+    weights_of = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["term"], x["wn"])))
+    l_side = l_vec.select(F.col("cls").alias("l_cls"), terms_of.alias("l_terms"), weights_of.alias("l_w"))
+    r_side = r_vec.select(F.col("cls").alias("r_cls"), terms_of.alias("r_terms"), weights_of.alias("r_w"))
+    common = pairs.join(l_side, "l_cls").join(r_side, "r_cls").withColumn("common", F.array_intersect("l_terms", "r_terms"))
+    shared = F.size("common")
+    if scheme == "unit":
+        cosine = shared / F.sqrt(F.col("l_size") * F.col("r_size"))
+    else:
+        cosine = F.aggregate("common", F.lit(0.0), lambda a, t: a + F.try_element_at("l_w", t) * F.try_element_at("r_w", t))
+    scored = common.select("l_cls", "r_cls", "l_size", "r_size", cosine.alias("cosine"), shared.alias("shared"))
     return scored.filter(F.col("cosine") >= threshold - EPS)
 
 
