@@ -13,6 +13,10 @@ source's baseline.
    (sign-offs, references, signatures) and are no cut; a structural sign that is open in many
    texts of a source, and a missing terminator in a source that seldom has one, are
    habits of the source and no evidence.
+4. Habits are estimated from texts whose tail shows no cut, so that cuts do not lower their
+   own baseline.  A tail shows a cut by a mark, a comma or the like at its end, or a last
+   word that inside the texts is mostly the beginning of longer words.  A cut mark is
+   evidence in every source.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ CLOSING_SHARE = 0.004
 HABIT_SHARE = 0.05
 #: A source whose plain texts end in a terminator less often than this has no such rule.
 TERMINATOR_SHARE = 0.5
+#: A last word is a fragment if the longer words it begins are more than this many times as frequent.
+FRAGMENT_RATIO = 20
 
 TERMINATORS = ".!?。！？．؟।"
 _CLOSERS = "\"'”’»)]}』」*_"
@@ -44,6 +50,8 @@ _BROKEN_TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?|/|!-{0,2}[^<>
 _BROKEN_REF = re.compile(r"&(?:#[xX]?[0-9A-Fa-f]{0,6}|[A-Za-z]{1,7})$")
 _BROKEN_ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$")
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.{2,}|…|\[(?:cut|more|truncated|snip)\]|>>)\s*$", re.I)
+_CLOSING_TAGS = r"(?:\s*</[A-Za-z][A-Za-z0-9]*>)+\s*$"
+_LAST_WORD = re.compile(r"[\w'’]+$")
 _BREAK = re.compile(rf"(?:[{TERMINATORS}…]+[{re.escape(_CLOSERS)}]*(?:\s+|$)|[。！？．]|\n)")
 _SPEAKER = re.compile(r"^\s*[A-Z][\w ]{0,20}:\s+")
 _LINK_END = re.compile(r"https?://[^\s/]+\.[^\s/]+/\S*$|www\.\S+\.\S+/\S*$", re.I)
@@ -88,7 +96,7 @@ def _scan(text: str) -> tuple[bool, bool, bool]:
 def ending(text: str) -> dict:
     """What the automaton and the tail say about one text."""
     body = text.rstrip()
-    out = {"blank": not body, "broken": None, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "tail": None}
+    out = {"blank": not body, "broken": None, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "tail": None, "last": None, "dangling": False}
     if not body:
         return out
     last = body[-1]
@@ -101,7 +109,7 @@ def ending(text: str) -> dict:
     elif _BROKEN_ESCAPE.search(body[-8:]):
         out["broken"] = "escape"
     out["quote"], out["bracket"], out["markup"] = _scan(body)
-    pure = re.sub(r"(?:\s*</[A-Za-z][A-Za-z0-9]*>)+$", "", body)
+    pure = re.sub(_CLOSING_TAGS, "", body)
     tail = _BREAK.split(pure[-400:])
     tail = next((t for t in reversed(tail) if t and t.strip()), pure[-60:]).strip()
     line = _SPEAKER.sub("", pure[-400:].split("\n")[-1]).strip()
@@ -121,6 +129,11 @@ def ending(text: str) -> dict:
     else:
         out["kind"] = "bare"
     out["tail"] = re.sub(r"\d+", "9", tail)[-60:]
+    if out["kind"] in ("bare", "mark"):
+        stem = pure[: mark.start()] if mark else pure
+        word = _LAST_WORD.search(stem[-60:])
+        out["last"] = word.group().lower() if word else None
+        out["dangling"] = stem[-1:] in tuple(",;:([{")
     return out
 
 
@@ -134,19 +147,38 @@ def endings(documents: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=["blank", "broken", "quote", "bracket", "markup", "kind", "tail"])
+            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=["blank", "broken", "quote", "bracket", "markup", "kind", "tail", "last", "dangling"])
             yield pd.concat([pdf.reset_index(drop=True), seen], axis=1)
 
     src = documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text").filter(F.col("text").isNotNull())
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInPandas(
         read,
-        f"doc_id {kind}, source string, blank boolean, broken string, quote boolean, bracket boolean, markup boolean, kind string, tail string",
+        f"doc_id {kind}, source string, blank boolean, broken string, quote boolean, bracket boolean, markup boolean, kind string, tail string, "
+        "last string, dangling boolean",
     )
 
 
-def _share(flag: Column) -> Column:
-    return F.count(F.when(flag, 1)) / F.greatest(F.count(F.lit(1)), F.lit(1))
+def fragments(documents: DataFrame, seen: DataFrame) -> DataFrame:
+    """``last``: the last words of ``seen`` that inside the texts are mostly the beginning of longer words."""
+    body = F.regexp_replace(F.regexp_replace("text", _CLOSING_TAGS, ""), "(?i)" + _MARK.pattern, "")
+    found = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_'’]+"), 0)
+    inner = documents.filter(F.col("text").isNotNull()).select(found.alias("w")).filter(F.size("w") > 1)
+    vocabulary = written(
+        inner.select(F.explode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "inner-words"
+    )
+    lasts = seen.filter(F.col("last").isNotNull()).select("last").distinct()
+    begun = vocabulary.filter(F.length("word") > 1).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(60))), lambda k: F.substring("word", F.lit(1), k))).alias("last"), "n"
+    )
+    longer = begun.join(lasts, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("n_longer"))
+    whole = vocabulary.select(F.col("word").alias("last"), F.col("n").alias("n_whole"))
+    return longer.join(whole, "last", "left").filter(F.col("n_longer") > FRAGMENT_RATIO * F.coalesce("n_whole", F.lit(0))).select("last")
+
+
+def _share(flag: Column, of: Column | None = None) -> Column:
+    of = F.lit(True) if of is None else of
+    return F.count(F.when(flag & of, 1)) / F.greatest(F.count(F.when(of, 1)), F.lit(1))
 
 
 def truncated(
@@ -158,6 +190,10 @@ def truncated(
     * A null source is a source of its own.  An empty table gives an empty result.
     """
     seen = written(endings(documents), "endings")
+    per_word = seen.groupBy("last").agg(F.count("*").alias("n_last"))
+    broken_words = written(fragments(documents, seen).withColumn("fragment", F.lit(True)).join(per_word, "last"), "fragments")
+    shown = F.coalesce("fragment", F.lit(False)) | F.col("dangling") | (F.col("kind") == "mark") | F.col("broken").isNotNull()
+    seen = written(lookup_join(seen, broken_words, "last", "n_last", "left").withColumn("shows", shown).drop("n_last"), "seen")
     n = seen.filter(~F.col("blank")).count()
     least = max(3, int(closing_share * n))
     # at most 1 / closing_share tails can end that many texts: a bounded side
@@ -169,13 +205,21 @@ def truncated(
         .select("tail", F.lit(True).alias("usual"))
     )
     marked = written(seen.join(F.broadcast(closings), "tail", "left"), "tails")
-    plain = F.col("kind").isin("bare", "mark", "terminated") & F.col("usual").isNull() & ~F.col("blank")
+    whole = F.col("kind").isin("terminated", "closing", "sign-off") | F.col("usual").isNotNull()
+    uncut = ~F.col("blank") & F.col("broken").isNull() & (whole | ~F.col("shows"))
+    ends, bare = (F.col("kind") == k for k in ("terminated", "bare"))
+    free = ~F.col("blank") & F.col("usual").isNull()
     base = marked.groupBy("source").agg(
         F.count("*").alias("n_source"),
-        _share(F.col("quote")).alias("p_quote"),
-        _share(F.col("bracket")).alias("p_bracket"),
-        _share(F.col("markup")).alias("p_markup"),
-        (F.count(F.when(plain & (F.col("kind") == "terminated"), 1)) / F.greatest(F.count(F.when(plain, 1)), F.lit(1))).alias("p_end"),
+        *[_share(F.col(s), uncut & whole).alias(f"w_{s}") for s in ("quote", "bracket", "markup")],
+        *[_share(F.col(s), uncut).alias(f"u_{s}") for s in ("quote", "bracket", "markup")],
+        _share(ends, free & (ends | (bare & ~F.col("shows")))).alias("p_end"),
+        _share(F.col("shows"), free & bare).alias("p_shows"),
+    )
+    # most bare tails show a cut where they come from cuts; where they are the habit they seldom do
+    rule = (F.col("p_end") >= terminator_share) | (F.col("p_shows") >= terminator_share)
+    base = base.select(
+        "source", "n_source", rule.alias("rule"), *[F.when(rule, F.col(f"w_{s}")).otherwise(F.col(f"u_{s}")).alias(f"p_{s}") for s in ("quote", "bracket", "markup")]
     )
     rows = lookup_join(marked, written(base, "sources"), "source", "n_source")
     usual = F.coalesce("usual", F.lit(False)) | F.col("kind").isin("closing", "sign-off")
@@ -183,8 +227,8 @@ def truncated(
         F.when(F.col("blank"), None)
         .when(F.col("broken").isNotNull(), F.concat(F.lit("broken "), "broken"))
         .when(usual, None)
-        .when((F.col("kind") == "mark") & (F.col("p_end") >= terminator_share), "cut mark")
-        .when((F.col("kind") == "bare") & (F.col("p_end") >= terminator_share), "no terminator")
+        .when(F.col("kind") == "mark", "cut mark")
+        .when((F.col("kind") == "bare") & F.col("rule"), "no terminator")
         .when(F.col("markup") & (F.col("p_markup") <= habit_share), "open markup")
         .when(F.col("quote") & (F.col("p_quote") <= habit_share), "open quote")
         .when(F.col("bracket") & (F.col("p_bracket") <= habit_share), "open bracket")

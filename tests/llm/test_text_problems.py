@@ -187,3 +187,16 @@ def test_truncation(spark):
     assert {r.doc_id for r in out.filter("cut").collect()} == set(range(100, 107))
     by = {r.source: r.n_cut for r in T.truncation_by_source(out).collect()}
     assert by["s1"] == 7 and by["s2"] == 0 and by[""] == 0
+
+
+def test_truncation_of_most_texts_of_a_source(spark):
+    import random
+
+    words = "please restart the router before calling again because technicians require another appointment tomorrow morning".split()
+    sentence = lambda i: " ".join(random.Random(i).sample(words, len(words)))
+    docs = [(i, "s1", f"Ticket {i} came in. {sentence(i).capitalize()}.") for i in range(40)]
+    docs += [(1000 + i, "s1", f"Ticket {i} came in. He said \"{sentence(i)[: 30 + i % 45].rstrip()}") for i in range(160)]
+    docs += [(2000 + i, "s2", f"no full stops in number {i} {words[i % 5]}") for i in range(60)] + [(3000, "s2", "no full stops and then the rou...")]
+    docs += [(4000 + i, "s3", f"Case {i} is done. {sentence(i).capitalize()[:50]} [...]") for i in range(30)]
+    out = T.truncated(spark.createDataFrame(docs, "doc_id bigint, source string, text string"))
+    assert {r.doc_id for r in out.filter("cut").collect()} == {*range(1000, 1160), 3000, *range(4000, 4030)}
