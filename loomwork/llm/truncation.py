@@ -9,8 +9,9 @@ source's baseline.
    or a multibyte character.
 2. The tail, the words after the last end of a sentence or line, is classified: terminated,
    a cut mark (dots, ellipsis), or bare.
-3. Baselines over all texts: tails that end many texts are closing lines of that corpus
-   (sign-offs, references, signatures) and are no cut; a structural sign that is open in many
+3. Baselines over all texts: tails that end many distinct texts are closing lines of that
+   corpus (sign-offs, references, signatures) and are no cut; copies of a text count once,
+   and a mere cut mark or a tail that ends inside a word is no closing line.  A structural sign that is open in many
    texts of a source, and a missing terminator in a source that seldom has one, are
    habits of the source and no evidence.
 4. Habits are estimated from texts whose tail shows no cut, so that cuts do not lower their
@@ -21,6 +22,7 @@ source's baseline.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from loomwork.operators.skew import lookup_join
 from loomwork.session import written
 
-#: A tail that ends this share of all texts (and at least three) is a closing line.
+#: A tail that ends this share of all distinct texts (and at least three) is a closing line.
 CLOSING_SHARE = 0.004
 #: A structural sign left open in more than this share of a source's texts is its habit.
 HABIT_SHARE = 0.05
@@ -96,7 +98,7 @@ def _scan(text: str) -> tuple[bool, bool, bool]:
 def ending(text: str) -> dict:
     """What the automaton and the tail say about one text."""
     body = text.rstrip()
-    out = {"blank": not body, "broken": None, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "tail": None, "last": None, "dangling": False}
+    out = {"blank": not body, "broken": None, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "tail": None, "last": None, "dangling": False, "digest": None}
     if not body:
         return out
     last = body[-1]
@@ -129,11 +131,15 @@ def ending(text: str) -> dict:
     else:
         out["kind"] = "bare"
     out["tail"] = re.sub(r"\d+", "9", tail)[-60:]
+    same = re.sub(r"[\W_]+", "", re.sub(r"\d+", "9", body)).lower()
+    out["digest"] = hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=12).digest()
     if out["kind"] in ("bare", "mark"):
         stem = pure[: mark.start()] if mark else pure
         word = _LAST_WORD.search(stem[-60:])
         out["last"] = word.group().lower() if word else None
         out["dangling"] = stem[-1:] in tuple(",;:([{")
+        if mark and not re.search(r"\w", _MARK.sub("", out["tail"])):
+            out["tail"] = None
     return out
 
 
@@ -147,7 +153,7 @@ def endings(documents: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=["blank", "broken", "quote", "bracket", "markup", "kind", "tail", "last", "dangling"])
+            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=["blank", "broken", "quote", "bracket", "markup", "kind", "tail", "last", "dangling", "digest"])
             yield pd.concat([pdf.reset_index(drop=True), seen], axis=1)
 
     src = documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text").filter(F.col("text").isNotNull())
@@ -155,7 +161,7 @@ def endings(documents: DataFrame) -> DataFrame:
     return src.mapInPandas(
         read,
         f"doc_id {kind}, source string, blank boolean, broken string, quote boolean, bracket boolean, markup boolean, kind string, tail string, "
-        "last string, dangling boolean",
+        "last string, dangling boolean, digest binary",
     )
 
 
@@ -194,11 +200,15 @@ def truncated(
     broken_words = written(fragments(documents, seen).withColumn("fragment", F.lit(True)).join(per_word, "last"), "fragments")
     shown = F.coalesce("fragment", F.lit(False)) | F.col("dangling") | (F.col("kind") == "mark") | F.col("broken").isNotNull()
     seen = written(lookup_join(seen, broken_words, "last", "n_last", "left").withColumn("shows", shown).drop("n_last"), "seen")
-    n = seen.filter(~F.col("blank")).count()
+    n = seen.filter(~F.col("blank")).select("digest").distinct().count()
     least = max(3, int(closing_share * n))
+    # a capital begins a name in a signature, which seldom stands inside the texts
+    inside = F.coalesce("fragment", F.lit(False)) & F.col("tail").rlike(r"(?:^|[^\p{L}\p{N}_'’])\p{Ll}[\p{L}\p{N}_'’]*(?:\s*(?:…|\.{2,}))?$")
     # at most 1 / closing_share tails can end that many texts: a bounded side
     closings = (
-        seen.filter(F.col("kind").isin("bare", "mark", "sign-off") & F.col("broken").isNull())
+        seen.filter(F.col("kind").isin("bare", "mark", "sign-off") & F.col("broken").isNull() & F.col("tail").isNotNull() & ~inside)
+        .select("tail", "digest")
+        .distinct()
         .groupBy("tail")
         .agg(F.count("*").alias("n_tail"))
         .filter(F.col("n_tail") >= least)

@@ -200,3 +200,16 @@ def test_truncation_of_most_texts_of_a_source(spark):
     docs += [(4000 + i, "s3", f"Case {i} is done. {sentence(i).capitalize()[:50]} [...]") for i in range(30)]
     out = T.truncated(spark.createDataFrame(docs, "doc_id bigint, source string, text string"))
     assert {r.doc_id for r in out.filter("cut").collect()} == {*range(1000, 1160), 3000, *range(4000, 4030)}
+
+
+def test_copies_of_cut_texts_are_no_closing_lines(spark):
+    import random
+
+    words = "please restart the router before calling again because technicians require another appointment tomorrow morning".split()
+    sentence = lambda i: " ".join(random.Random(i).sample(words, len(words)))
+    docs = [(i, "s1", f"Ticket {i} came in. {sentence(i).capitalize()}.") for i in range(60)]
+    docs += [(1000 + i, "s1", "Hello there. The technici") for i in range(30)] + [(1100 + i, "s1", f"{sentence(i).capitalize()}.\n{m}") for i, m in enumerate(["[...]", "[truncated]", "..."] * 8)]
+    docs += [(2000 + i, "s1", f"{sentence(i).capitalize()}.\nYour router desk") for i in range(12)]  # a closing line
+    docs += [(3000 + i, "s1", f"{sentence(i).capitalize()}.\nThis came from technici") for i in range(12)]  # the same cut of a footer
+    out = T.truncated(spark.createDataFrame(docs, "doc_id bigint, source string, text string"))
+    assert {r.doc_id for r in out.filter("cut").collect()} == {*range(1000, 1030), *range(1100, 1124), *range(3000, 3012)}
