@@ -59,7 +59,7 @@ def first_mention(text: Column | str) -> Column:
 
 def redact_plain(text: Column | str) -> Column:
     """Numbers of eight and more digits and words around @ masked."""
-    return F.regexp_replace(F.regexp_replace(_c(text), r"\b\d{8,}\b", "[ID]"), r"\S+@\S+", "[email]")
+    return F.regexp_replace(F.regexp_replace(_c(text), r"(?U)\b\d{8,}\b", "[ID]"), r"(?U)\S+@\S+", "[email]")
 
 
 def without_handles(text: Column | str) -> Column:

@@ -64,7 +64,7 @@ def scores(text: Column, rules: tuple[Rule, ...]) -> Column:
     """``array<struct<neg, ord, label>>`` of the labels above zero, best first, ties in the order of the table."""
     parts = []
     for i, label in enumerate(label_order(rules)):
-        total = reduce(lambda a, b: a + b, [F.when(text.rlike(r.pattern), r.weight).otherwise(0) for r in rules if r.label == label])
+        total = reduce(lambda a, b: a + b, [F.when(text.rlike("(?U)" + r.pattern), r.weight).otherwise(0) for r in rules if r.label == label])
         parts.append(F.struct((-total).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label")))
     return F.array_sort(F.filter(F.array(*parts), lambda x: x["neg"] < 0))
 

@@ -209,6 +209,12 @@ def redact_plain(spark, d):
     return _t(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", M.redact_plain("text").alias("masked"))
 
 
+@query(None)
+def redact_plain_all(spark, d):
+    """Long numbers and addresses masked in every text that is not null."""
+    return _t(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", M.redact_plain("text").alias("masked"))
+
+
 @query(f"select tweet_id, {_DEC('text')} decoded from twcs where contains(text, '&') and regexp_matches(text, '&(amp|lt|gt|quot|#39|AMP);') and not regexp_matches(text, '&[A-Za-z]+(?:[^A-Za-z;]|$)')")
 def html_decode(spark, d):
     from loomwork.functions.text import decode_entities
@@ -217,6 +223,14 @@ def html_decode(spark, d):
     return rows.select("tweet_id", decode_entities("text").alias("decoded"))
 
 
+@query(None)
+def html_decode_all(spark, d):
+    """Character references decoded in every text that is not null."""
+    from loomwork.functions.text import decode_entities
+
+    return _t(spark, d, "twcs").filter(F.col("text").isNotNull()).select("tweet_id", decode_entities("text").alias("decoded"))
+
+
 @query("select tweet_id, array_to_string(list_filter(string_split_regex(trim(coalesce(text,''), ' '), '\\s+'), lambda w: not starts_with(w, '@')), ' ') body from twcs")
 def without_handles(spark, d):
     return _t(spark, d, "twcs").select("tweet_id", M.without_handles("text").alias("body"))
@@ -392,8 +406,10 @@ l as (select *, case when length(x) < 8 or len(string_split(x, ' ')) <= 1 then '
  when s[1].neg <= -2 then 'high' else 'medium' end conf, array_to_string(list_sort(list_transform(s, lambda z: z.label)), '|') matched, len(s) k from s)"""
 
 
-def _labelled(spark, d):
-    rows = _t(spark, d, "apple_support_intent_training_candidates").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
+def _labelled(spark, d, ascii_only=True):
+    rows = _t(spark, d, "apple_support_intent_training_candidates").filter(F.col("text").isNotNull())
+    if ascii_only:
+        rows = rows.filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
     return K.weak_labels(rows.select("tweet_id", "thread_id", "text"))
 
 
@@ -409,6 +425,17 @@ def rule_overlap_priority(spark, d):
     return K.review_priority(_labelled(spark, d)).groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("rule_match_count") > 1).alias("n_overlap"))
 
 
+@query(None)
+def rule_labels_all(spark, d):
+    """Weak labels of all candidates with a text, in any script."""
+    return _labelled(spark, d, False).select("tweet_id", "thread_id", F.col("rule_label").alias("label"), F.col("rule_confidence").alias("conf"), F.col("rule_matched").alias("matched"))
+
+
+@query(None)
+def rule_overlap_priority_all(spark, d):
+    return K.review_priority(_labelled(spark, d, False)).groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("rule_match_count") > 1).alias("n_overlap"))
+
+
 _HIST = ["candidate_intent", "label_source", "label_confidence", "selection_reason"]
 
 
@@ -689,3 +716,10 @@ def short_messages(spark, d):
     return rows.filter(F.length(m) < 8).select("thread_id", F.length(m).alias("n_match"))
 
 
+@query(None)
+def short_messages_all(spark, d):
+    """Candidates too short to label, in any script."""
+    m = match_form("text")
+    return _t(spark, d, _CAND).filter(F.col("text").isNotNull()).filter(F.length(m) < 8).select("thread_id", F.length(m).alias("n_match"))
+
+

@@ -159,3 +159,28 @@ def test_streaming_counts(spark, tmp_path):
 def test_entry_has_every_core_query(spark):
     names = __spark_entry__.queries()
     assert {"p1_found", "p7_found", "thread_records", "topk_cosine"} <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_whole_queries_take_texts_in_any_script(spark, tmp_path):
+    import html
+    import re
+
+    from loomwork.operators.rules import SUPPORT_LEXICON
+    from loomwork.plans.reference import QUERIES
+
+    texts = ["La pantalla está rota 😊 battery drain", "あ update", "éupdate ne marche plus", "naïve “wi-fi” and 12345678 plus ñ12345678", "ok ñ", "no news here at all", "write to ü@x.example ９９９９９９９９ now",
+             "a &amp; b &lt;c&gt; &quot;d&quot;", "AT&T &amp; update", "refund&hellip; é", "@Ünal https://x.example/a update 日本", None]
+    rows = spark.createDataFrame([(i, str(i), f"t{i}", t) for i, t in enumerate(texts)], "doc_id bigint, tweet_id string, thread_id string, text string")
+    for name in ("documents", "twcs", "apple_support_intent_training_candidates"):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: QUERIES[name][0](spark, str(tmp_path)).collect()
+    known = [t for t in texts if t]
+    norm = [" ".join(re.sub(r"@\w+", " ", re.sub(r"https?://\S+", " ", html.unescape(t))).lower().split()) for t in known]
+    matched = {}
+    for i, x in enumerate(norm):
+        matched[str(i)] = "|".join(sorted({r.label for r in SUPPORT_LEXICON if re.search(r.pattern, x)}))
+    assert {r.tweet_id: r.matched for r in run("rule_labels_all")} == matched and matched["2"] == "" and matched["0"]
+    assert sum(r.n for r in run("rule_overlap_priority_all")) == len(known)
+    assert {(r.thread_id, r.n_match) for r in run("short_messages_all")} == {(f"t{i}", len(x)) for i, x in enumerate(norm) if len(x) < 8}
+    assert {r.doc_id: r.masked for r in run("redact_plain_all")} == {i: re.sub(r"\S+@\S+", "[email]", re.sub(r"\b\d{8,}\b", "[ID]", t)) for i, t in enumerate(known)}
+    assert {r.tweet_id: r.decoded for r in run("html_decode_all")} == {str(i): html.unescape(t) for i, t in enumerate(known)}
