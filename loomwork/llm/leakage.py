@@ -10,12 +10,20 @@ Method: a distributed positional inverted index.
    the item from the place in the document gives the offset, and the list of the second
    must hold the same offset.
 3. For the few documents left the lists of all the item's terms are intersected at that
-   offset; ``n`` places in a row without a gap are a phrase match, ``n`` terms within
-   ``slack`` places of the offset a proximity match.
+   offset; ``n`` places in a row without a gap are a phrase match.
+
+Proximity matches (``n`` places of the item within ``slack`` places of one offset) may lack
+any word, so no pair of anchors will do: of an item of ``m`` places at least one of the
+``m - n + 1`` rarest must be found.  Documents that hold one of these are the candidates;
+those that share enough words are compared with the item place by place.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +69,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, n: int = WORDS_IN_A_
     * Items of less than ``n`` words and null texts match nothing; an empty table gives an empty result.
     * Items with equal texts are reported each; an item with two texts is searched with both.
     """
+    if slack:
+        return _near_passages(documents, items, n, slack)
     index = build_index(documents)
     iw = item_words(items)
     iw = written(iw, "items")
@@ -84,23 +94,11 @@ def leaked_passages(documents: DataFrame, items: DataFrame, n: int = WORDS_IN_A_
     )
     known = lookup_join(index, df.withColumnRenamed("df", "n_postings"), "term", "n_postings").select("term", "doc_id", "pos")
     first = written(first, "first-anchor")
-    if slack:
-        near = first.select(
-            "doc_id", "item", "version", "off", "term",
-            F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)).alias("pos"),
-        )
-    else:
-        near = first
-    second = near.join(known, ["doc_id", "term", "pos"], "left_semi").select("doc_id", "item", "version", "off").distinct()
+    second = first.join(known, ["doc_id", "term", "pos"], "left_semi").select("doc_id", "item", "version", "off").distinct()
     second = written(second, "second-anchor")
     places = iw.select("item", "version", "q", "term")
     # all places of a candidate's item, looked up at its offset
     wanted = second.join(places, ["item", "version"]).withColumn("pos", F.col("off") + F.col("q"))
-    if slack:
-        wanted = wanted.select(
-            "doc_id", "item", "version", "off", "q", "term",
-            F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)).alias("pos"),
-        )
     hit = wanted.join(known, ["doc_id", "term", "pos"], "left_semi").select("doc_id", "item", "version", "off", "q").distinct()
     runs = hit.groupBy("doc_id", "item", "version", "off").agg(F.array_sort(F.collect_set("q")).alias("qs"))
     start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -110,7 +108,72 @@ def leaked_passages(documents: DataFrame, items: DataFrame, n: int = WORDS_IN_A_
         return F.struct(q.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
     found = runs.select("doc_id", "item", F.size("qs").alias("n_matched"), F.aggregate("qs", start, step)["best"].alias("longest_run"))
-    enough = (F.col("n_matched") if slack else F.col("longest_run")) >= n
-    return found.filter(enough).groupBy("doc_id", "item").agg(
+    return found.filter(F.col("longest_run") >= n).groupBy("doc_id", "item").agg(
         F.max("n_matched").alias("n_matched"), F.max("longest_run").alias("longest_run")
     )
+
+
+def nearest(places: dict[str, list[int]], item: list[str], n: int, slack: int) -> tuple[int, int]:
+    """The most places of ``item`` within ``slack`` places of one offset, and the longest run of
+    such places, over all offsets with ``n`` places or more; zeros if there are none."""
+    hits = sorted((pos - q, q) for q, term in enumerate(item) for pos in places.get(term, ()))
+    most = longest = low = 0
+    inside: Counter = Counter()
+    for i, (diag, q) in enumerate(hits):
+        inside[q] += 1
+        while diag - hits[low][0] > 2 * slack:
+            gone = hits[low][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            low += 1
+        if len(inside) < n or (i + 1 < len(hits) and hits[i + 1][0] - hits[low][0] <= 2 * slack):
+            continue  # too few, or the next hit still belongs to this offset
+        most = max(most, len(inside))
+        run, last = 0, -2
+        for at in sorted(inside):
+            run = run + 1 if at == last + 1 else 1
+            last = at
+            longest = max(longest, run)
+    return most, longest
+
+
+def _near_passages(documents: DataFrame, items: DataFrame, n: int, slack: int) -> DataFrame:
+    """Proximity matches of :func:`leaked_passages`; no match is lost by the choice of candidates."""
+    docs = written(documents.select("doc_id", words("text").alias("w")).filter(F.size("w") >= F.lit(n)), "doc-words")
+    texts = items.filter(F.col("item").isNotNull()).select("item", "text").distinct().select("item", words("text").alias("iw"))
+    texts = written(texts.filter(F.size("iw") >= n).distinct().withColumn("version", F.xxhash64("iw")), "items")
+    places = texts.select("item", "version", F.size("iw").alias("m"), F.posexplode("iw").alias("q", "term"))
+    terms = docs.select("doc_id", F.explode(F.array_distinct("w")).alias("term"))
+    df = written(terms.join(places.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "item-terms")
+    rank = F.row_number().over(Window.partitionBy("item", "version").orderBy("df", "term", "q"))
+    # places whose term is in no document come first: they can not be the one that is found
+    ranked = places.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", rank)
+    anchors = ranked.filter((F.col("rank") <= F.col("m") - n + 1) & (F.col("df") > 0)).select("term", "df", "item", "version").distinct()
+    by_term = written(anchors.groupBy("term").agg(F.collect_list(F.struct("item", "version")).alias("a"), F.max("df").alias("n_postings")), "anchors")
+    pairs = lookup_join(terms, by_term, "term", "n_postings").select("doc_id", F.explode("a").alias("a")).select("doc_id", "a.*").distinct()
+    pairs = written(pairs, "candidates")
+    # one row a document: its words are read once for all its candidates
+    asked = pairs.join(texts, ["item", "version"]).groupBy("doc_id").agg(F.collect_list(F.struct("item", "iw")).alias("asked"))
+    both = docs.join(asked, "doc_id")
+    types = {f.name: f.dataType.simpleString() for f in texts.schema} | {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for doc_id, w, asked in zip(pdf["doc_id"], pdf["w"], pdf["asked"], strict=True):
+                at = defaultdict(list)
+                for pos, term in enumerate(w):
+                    at[term].append(pos)
+                for x in asked:
+                    item = x["iw"]
+                    if sum(term in at for term in item) >= n:
+                        most, longest = nearest(at, item, n, slack)
+                        if most >= n:
+                            got.append((doc_id, x["item"], most, longest))
+            yield pd.DataFrame(got, columns=["doc_id", "item", "n_matched", "longest_run"])
+
+    found = both.select("doc_id", "w", "asked").mapInPandas(
+        verify, f"doc_id {types['doc_id']}, item {types['item']}, n_matched int, longest_run int"
+    )
+    return found.groupBy("doc_id", "item").agg(F.max("n_matched").alias("n_matched"), F.max("longest_run").alias("longest_run"))

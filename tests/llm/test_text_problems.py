@@ -213,3 +213,32 @@ def test_copies_of_cut_texts_are_no_closing_lines(spark):
     docs += [(3000 + i, "s1", f"{sentence(i).capitalize()}.\nThis came from technici") for i in range(12)]  # the same cut of a footer
     out = T.truncated(spark.createDataFrame(docs, "doc_id bigint, source string, text string"))
     assert {r.doc_id for r in out.filter("cut").collect()} == {*range(1000, 1030), *range(1100, 1124), *range(3000, 3012)}
+
+
+def test_proximity_against_all_offsets(spark):
+    import random
+
+    rnd = random.Random(4)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(f"b{i}", " ".join(rnd.choice(vocab) for _ in range(rnd.randint(12, 24)))) for i in range(12)]
+    items += [("rare", " ".join([*vocab[:10], "unique", *vocab[20:29]])), ("short", "one two"), ("none", None)]
+    docs = [(5000, " ".join([*vocab[:10], "edited", *vocab[20:29]])), (5001, None), (5002, "")]
+    for i in range(300):
+        w = items[rnd.randrange(13)][1].split()
+        for _ in range(rnd.randint(0, 8)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randint(0, 1)] = [rnd.choice(vocab)] * rnd.randint(0, 1)
+        docs.append((i, " ".join([rnd.choice(vocab) for _ in range(rnd.randint(0, 9))] + w)))
+    want = {}
+    for d, text in docs:
+        for item, t in items:
+            w, q = (text or "").split(), (t or "").split()
+            for off in range(-len(q) - 2, len(w) + 3):
+                found = [term in w[max(0, off + i - 2) : max(0, off + i + 3)] for i, term in enumerate(q)]
+                if sum(found) >= 12:
+                    run = max(len(r) for r in "".join(".x"[f] for f in found).split("."))
+                    a, b = want.get((d, item), (0, 0))
+                    want[d, item] = (max(a, sum(found)), max(b, run))
+    a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item string, text string")
+    got = {(r.doc_id, r.item): (r.n_matched, r.longest_run) for r in K.leaked_passages(a, b, slack=2).collect()}
+    assert got == want and (5000, "rare") in got and len(want) > 100
