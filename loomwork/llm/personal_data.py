@@ -15,6 +15,8 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as K
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -173,21 +175,44 @@ _GREETING = re.compile(
     rf"^\W*(?:@\w+\s+)*\W*(?:(?:hi|hello|hey|dear|good\s(?:morning|afternoon|evening|day)|hola|bonjour|hallo|olá|thanks|thank\syou|sorry\sabout\s(?:this|that)|(?:we're|were)\ssorry)(?P<c>,?)\s(?P<v>{_W})(?=\s?[,!.:;-]|\s[A-Z]|\s?$)|(?P<w>{_W}),\s(?=[A-Za-z]))",
     re.I,
 )
-#: Words without which the patterns of a type cannot match (lower case).
+
+
+def needed(pattern: re.Pattern) -> set[str]:
+    """Lower-case literals, at least one of which is in every text that ``pattern`` matches,
+    read from its alternatives; an empty set if there are none."""
+
+    def score(words: set[str]) -> tuple[int, int]:
+        return (min(map(len, words)), -len(words)) if words else (0, 0)
+
+    def read(items) -> set[str]:
+        best: set[str] = set()
+        run = ""
+        for op, arg in [*items, (None, None)]:
+            if op is K.LITERAL:
+                run += chr(arg)
+                continue
+            found = {run.lower()} if run else set()
+            run = ""
+            best = max(best, found, key=score)
+            if op is K.SUBPATTERN:
+                best = max(best, read(arg[3]), key=score)
+            elif op is K.BRANCH:
+                each = [read(x) for x in arg[1]]
+                best = max(best, set().union(*each) if all(each) else set(), key=score)
+            elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT) and arg[0]:
+                best = max(best, read(arg[2]), key=score)
+        return best
+
+    words = read(list(_parser.parse(pattern.pattern, pattern.flags)))
+    return {w for w in words if not any(v != w and v in w for v in words)}
+
+
+#: Literals without which the patterns of a type cannot match.
 _GATES = {
-    "name": "name|is under|ask for|booked|signed,|regards,|sincerely,|me llamo|nombre|appelle|nom |heiße|heisse|namen|chamo|nome é|ik heet|naam|chiamo|名前".split("|"),
-    "street": (
-        "street| st | st.| st,| road| rd | rd,| rd.|avenue| ave | ave.| ave,| lane| ln | ln.| court| ct | drive,| terrace| crescent|boulevard|blvd| gardens| grove|"
-        "live at|living at|address| ship | send | deliver|came to| come to|moved to|calle |c/|avenida|plaza |paseo |camino |rua |travessa|praça|alameda| rue |"
-        "habite|vivo |moro |wohne |woon |adres|住所|straße|strasse|str. |weg |platz |allee |gasse |straat |laan |gracht |丁目|番地"
-    ).split("|"),
-    "id": (
-        "passport|pasaporte|passeport|reisepass|passaporte|paspoort|ssn|social security|national insurance| ni n|nino|tax|driver|driving|licence|license|id card|national id|"
-        "identity|dni|nie |nif|nuss|curp|sécurité|fiscal|identité|permis|steuer|ausweis|sozialvers|führersch|bsn|burgerserv|rijbewijs|cpf|rg |cnh|condução|contribuinte|"
-        "マイナンバー|個人番号|番号"
-    ).split("|"),
-    "hello": "hi |hello|hey|dear |good |hola |bonjour|hallo|olá|thank|sorry about|, ".split("|"),
-}
+    "name": needed(_NAME_AFTER) | needed(_JA_NAME), "street": needed(_STREET) | needed(_STREET_AFTER), "id": needed(_ID), "hello": needed(_GREETING),
+}
+#: Characters that patterns without case take for i, s and k, but whose lower case is another.
+_FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k", 0x1E9E: "ß"}
 _SEEN_GATES = None
 
 
@@ -199,11 +224,10 @@ def _gates(low: str) -> set[str]:
             import ahocorasick
 
             machine = ahocorasick.Automaton()
-            for kind, words in _GATES.items():
-                for w in words:
-                    machine.add_word(w, kind)
+            for w in set().union(*_GATES.values()):
+                machine.add_word(w, frozenset(k for k, words in _GATES.items() if w in words))
             machine.make_automaton()
-            _SEEN_GATES = lambda t: {k for _, k in machine.iter(t)}
+            _SEEN_GATES = lambda t: set().union(*{k for _, k in machine.iter(t)})
         except ImportError:
             each = {k: re.compile("|".join(map(re.escape, w))) for k, w in _GATES.items()}
             _SEEN_GATES = lambda t: {k for k, r in each.items() if r.search(t)}
@@ -263,7 +287,7 @@ def _find_spaced(text: str, flat: str) -> list[Hit]:
     return [Hit(keep[h.start], keep[h.end - 1] + 1, h.kind) for h in _find(squeezed)]
 
 
-def _find(t: str) -> list[Hit]:
+def _find(t: str, gated: bool = True) -> list[Hit]:
     taken: list[tuple[int, int]] = []
     hits: list[Hit] = []
 
@@ -272,10 +296,10 @@ def _find(t: str) -> list[Hit]:
             taken.append((start, end))
             hits.append(Hit(start, end, kind))
 
-    low = t.lower() + " "
-    gates = _gates(low)
-    numbers = "id" in gates or _DIGITS_GATE.search(t)
-    at = t.find("@", 2) > 0 or (" at " in low and " dot " in low) or _BRACKET_AT.search(low)
+    low = (t if t.isascii() else t.translate(_FOLD)).lower()
+    gates = _gates(low) if gated else set(_GATES)
+    numbers = not gated or ("id" in gates and len(_DIGIT.findall(t)) >= 5) or _DIGITS_GATE.search(t)
+    at = not gated or t.find("@", 1) > 0 or ("at" in low and "dot" in low) or _BRACKET_AT.search(low)
     if not (numbers or at or gates):
         return hits
     if at:

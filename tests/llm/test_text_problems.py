@@ -242,3 +242,18 @@ def test_proximity_against_all_offsets(spark):
     a, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item string, text string")
     got = {(r.doc_id, r.item): (r.n_matched, r.longest_run) for r in K.leaked_passages(a, b, slack=2).collect()}
     assert got == want and (5000, "rare") in got and len(want) > 100
+
+
+def test_gates_lose_no_personal_details():
+    found = {"12 Oak Drive.": "street_address", "5 Quai Voltaire": "street_address", "Marktplein 7": "street_address", "9 Elm Dr": "street_address", "3 Hay Mews": "street_address", "12 Oak\nSt": "street_address",
+             "4 allée Verte": "street_address", "Deichufer 3": "street_address", "em nome de Rui Alves": "name", "TIN 12345": "id_number", "sofinummer 123456": "id_number", "a@b.example": "email", "RG 12345": "id_number"}
+    for text, kind in found.items():
+        assert kinds(text) == [kind], text
+    labels = [x.replace(r"\s", " ") for p in (N._STREET_WORDS, N._STREET_WEAK) for x in p.split("|")]
+    texts = [*found, *EN, *ES, *DE] + [f"I live at 7 Long {w}, {q}" for w in labels for q in ("ok", "")] + [f"7 Long {w}" for w in labels]
+    for pattern in (N._NAME_LABEL, N._ID_LABEL, N._PLACE_LABEL):
+        for x in pattern.split("|"):
+            label = x.replace(r"\s", " ").replace("?", "").replace("(:", "").replace(")", "").replace("(", "")
+            texts += [f"{v} {w}" for v in (label, label.upper()) for w in ("Rui Alves", "12345", "7 Long Close")]
+    for text in texts:
+        assert N._find(text) == N._find(text, gated=False), text
