@@ -44,16 +44,16 @@ def masked_fields(text: Column | str) -> Column:
 
 
 def useful_words(text: Column | str) -> Column:
-    """Number of words of letters only, links and mentions left out (ASCII)."""
+    """Number of words of letters (of any alphabet) only, links and mentions left out."""
     t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"https?://\S+", " ")
     t = F.regexp_replace(t, r"@\S+", " ")
-    return F.size(F.filter(F.split(t, r"\s+"), lambda w: w.rlike("^[A-Za-z]+$")))
+    return F.size(F.filter(F.split(t, r"\s+"), lambda w: w.rlike(r"^\p{L}+$")))
 
 
 def first_mention(text: Column | str) -> Column:
     """First word that begins with @, without closing punctuation; null if it is a number or missing."""
     words = F.split(F.trim(F.coalesce(_c(text), F.lit(""))), r"\s+")
-    name = F.regexp_replace(F.substring(F.try_element_at(F.filter(words, lambda w: w.startswith("@")), F.lit(1)), 2, 1000), r"[.,!?;:]+$", "")
+    name = F.regexp_replace(F.substr(F.try_element_at(F.filter(words, lambda w: w.startswith("@")), F.lit(1)), F.lit(2)), r"[.,!?;:]+$", "")
     return F.when((name != "") & ~name.rlike("^[0-9]+$"), name)
 
 

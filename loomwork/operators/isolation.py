@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import written
 from loomwork.sources.tables import id_number
 
 
@@ -45,15 +46,23 @@ def stratified_sample(df: DataFrame, id_col: str, slices: dict[str, tuple[Column
 
 
 def cohorts(df: DataFrame, id_col: str, ordered: list[tuple[str, Column, int]], seed: str) -> DataFrame:
-    """``cohort, id``: quotas filled in order; a row goes to the first cohort whose condition it meets."""
-    pick = F.coalesce(*[F.when(cond, F.lit(i)) for i, (_, cond, _) in enumerate(ordered)])
-    rows = df.select(F.col(id_col).alias("id"), seeded_order(id_col, seed).alias("o"), pick.alias("c")).filter("c is not null").distinct()
-    w = Window.partitionBy("c").orderBy("o", "id")
-    most = max(q for _, _, q in ordered)
-    ranked = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
-    name = F.array(*[F.lit(n) for n, _, _ in ordered])
-    quota = F.array(*[F.lit(q) for _, _, q in ordered])
-    return ranked.filter(F.col("rn") <= F.get(quota, F.col("c"))).select(F.get(name, F.col("c")).alias("cohort"), "id")
+    """``cohort, id``: quotas filled in order, each from all rows that no earlier cohort took.
+
+    A cohort can lose at most the quotas before it, so of each only that many more rows are
+    looked at: the table is read once, and the draws run on these few."""
+    reach = {}
+    for i, (name, _, _) in enumerate(ordered):
+        reach[name] = sum(q for _, _, q in ordered[: i + 1])
+    wide = {name: (cond, reach[name]) for name, cond, _ in ordered}
+    few = written(stratified_sample(df, id_col, wide, seed).filter("id is not null").withColumn("o", seeded_order("id", seed)), "cohort-candidates")
+    used = few.filter("false").select("id")
+    out = None
+    for name, _, quota in ordered:
+        drawn = few.filter(F.col("slice") == name).join(used, "id", "left_anti").orderBy("o", "id").limit(quota)
+        drawn = written(drawn.select(F.lit(name).alias("cohort"), "id"), "cohort")
+        used = used.unionAll(drawn.select("id"))
+        out = drawn if out is None else out.unionAll(drawn)
+    return out
 
 
 def split_by_hash(df: DataFrame, id_col: str, parts: dict[str, float], seed: str) -> DataFrame:

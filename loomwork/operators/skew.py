@@ -11,7 +11,7 @@ from loomwork.session import written
 
 #: Keys of at least this weight are hot; so many rows make a task of some seconds.
 HOT_WEIGHT = 50_000
-#: No more hot keys than this can be broadcast, whatever the total.
+#: No more hot keys than this are broadcast (as a hash and a number each), whatever the total.
 HOT_KEYS = 2_000
 
 
@@ -26,26 +26,31 @@ def lookup_join(
     """Join ``left`` to ``right``, whose ``key`` is unique and whose ``weight``
     counts the rows of ``left`` with that key.
 
-    Keys of ``hot_weight`` rows or more are broadcast and joined where the rows
-    lie, the others are joined by shuffle.  The broadcast side is bounded: keys
-    are taken by descending weight down to ``hot_weight`` and at most
-    ``HOT_KEYS`` of them.  A key that is left out by that bound is joined by
-    shuffle, where adaptive execution splits it; no row is lost.
+    One shuffle join over (key, salt), each side read once.  A key of ``hot_weight`` rows
+    or more is hot: its row of ``right`` is repeated once for every ``hot_weight``
+    rows, and the rows of ``left`` are spread over the repeats by a hash of all their columns.
+    Only hashes of hot keys are broadcast, at most ``HOT_KEYS`` numbers, taken by falling
+    weight; a key beyond that bound, or one with an equal hash, is joined all the same.
+    Where ``right`` is small the optimizer broadcasts it and nothing is shuffled.
 
     Null keys match nothing.  ``how`` is ``inner`` or ``left``.
     """
     hot = (
-        right.filter(F.col(weight) >= hot_weight)
-        .orderBy(F.desc(weight), F.asc(key))
+        right.filter((F.col(weight) >= hot_weight) & F.col(key).isNotNull())
+        .select(F.xxhash64(key).alias("__h"), F.ceil(F.col(weight) / hot_weight).cast("int").alias("__reps"))
+        .orderBy(F.desc("__reps"), "__h")
         .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("__hot"))
+        .groupBy("__h")
+        .agg(F.max("__reps").alias("__reps"))
     )
-    marked = left.join(F.broadcast(hot), key, "left")
-    hot_rows = right.join(F.broadcast(hot.select(key)), key, "left_semi")
-    cold_rows = right.join(F.broadcast(hot.select(key)), key, "left_anti")
-    a = marked.filter(F.col("__hot").isNotNull()).drop("__hot").join(F.broadcast(hot_rows), key, how)
-    b = marked.filter(F.col("__hot").isNull()).drop("__hot").join(cold_rows, key, how)
-    return a.unionByName(b)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__reps")).cast("int")
+    a = left.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(0))).drop("__h", "__reps")
+    repeats = F.explode(F.sequence(F.lit(0), F.coalesce("__reps", F.lit(1)) - 1))
+    b = right.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", repeats).drop("__h", "__reps")
+    return a.join(b, [key, "__salt"], how).drop("__salt")
 
 
 def global_row_number(df: DataFrame, group: list[str], order: list[Column], name: str, label: str = "rank") -> DataFrame:

@@ -35,7 +35,7 @@ def message_rows(messages: DataFrame) -> DataFrame:
 def response_links(messages: DataFrame) -> DataFrame:
     """``id, r_present, r_valid, r_missing``: reply ids of each message that exist or not."""
     ids = messages.select(id_number("tweet_id").alias("id"), "response_tweet_id").filter("id is not null").distinct()
-    refs = split_packed(ids, "response_tweet_id", ["id"]).select("id", id_number("value").alias("ref")).filter("ref is not null").distinct()
+    refs = split_packed(ids, "response_tweet_id", ["id"], packed_ids=True).select("id", id_number("value").alias("ref")).filter("ref is not null").distinct()
     known = messages.select(id_number("tweet_id").alias("ref")).filter("ref is not null").distinct().withColumn("known", F.lit(1))
     marked = refs.join(known, "ref", "left")
     return marked.groupBy("id").agg(

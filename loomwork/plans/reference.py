@@ -37,7 +37,7 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return table(spark, folder, name)
 
 
-_ID = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,18}})(\\.0+)?\\s*$', 1) as bigint)".format
+_ID = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,19}})(\\.0+)?\\s*$', 1) as bigint)".format
 _DIR = "case lower(trim(coalesce(inbound,''))) when 'true' then 'inbound' when 'false' then 'outbound' else 'unknown' end"
 _PRESENT = "(trim(coalesce({0},'')) <> '' and trim(coalesce({0},'')) <> 'nan')".format
 
@@ -184,7 +184,7 @@ def star_pricing_summary(spark, d):
 
 _DEC = "replace(replace(replace(replace(replace(replace(coalesce({0},''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&AMP;', '&'), '&amp;', '&')".format
 _ASCII = "case when length(coalesce(text,'')) = 0 then 1.0 else length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) end"
-_USEFUL = "len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce(text,''), 'https?://\\S+', ' ', 'g'), '@\\S+', ' ', 'g'), '\\s+'), lambda w: regexp_matches(w, '^[A-Za-z]+$')))"
+_USEFUL = "len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce(text,''), 'https?://\\S+', ' ', 'g'), '@\\S+', ' ', 'g'), '\\s+'), lambda w: regexp_matches(w, '^\\p{L}+$')))"
 
 
 @query(f"select tweet_id, {_ASCII} >= 0.85 english from twcs")
@@ -492,11 +492,14 @@ def stratified_sample(spark, d):
     return I.stratified_sample(_t(spark, d, _CAND), "tweet_id", {s: (F.col("candidate_intent") == s, q) for s, q in _SLICES.items()}, "audit")
 
 
-@query(f"""with h as (select distinct tweet_id id, sha256('cohort:' || tweet_id) o, case when is_complete and customer_message_count >= 2 then 'multi' when label_confidence = 'low' then 'unsure' when not is_complete then 'open' end cohort from {_CAND}),
-r as (select *, row_number() over (partition by cohort order by o, id) rn from h where cohort is not null)
-select cohort, id from r where rn <= case cohort when 'multi' then 55 when 'unsure' then 15 else 8 end""")
+@query(f"""with h as (select distinct tweet_id id, sha256('cohort:' || tweet_id) o, coalesce(is_complete and customer_message_count >= 2, false) m, coalesce(label_confidence = 'low', false) u,
+ coalesce(not is_complete, false) n from {_CAND} where tweet_id is not null),
+a as (select distinct id, o from h where m order by o, id limit 55),
+b as (select distinct id, o from h where u and id not in (select id from a) order by o, id limit 15),
+c as (select distinct id, o from h where n and id not in (select id from a union select id from b) order by o, id limit 8)
+select 'multi' cohort, id from a union all select 'unsure', id from b union all select 'open', id from c""")
 def cohort_quotas(spark, d):
-    """A sampling operator: ordered quotas, each row in the first cohort it meets."""
+    """A sampling operator: ordered quotas, each drawn from the rows no earlier cohort took."""
     return I.cohorts(_t(spark, d, _CAND), "tweet_id", [
         ("multi", F.col("is_complete") & (F.col("customer_message_count") >= 2), 55), ("unsure", F.col("label_confidence") == "low", 15), ("open", ~F.col("is_complete"), 8)], "cohort")
 

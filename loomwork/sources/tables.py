@@ -12,9 +12,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def id_number(col: Column | str) -> Column:
-    """An id as a number: blanks and a trailing ``.0`` do not count; null if it is none."""
+    """An id of up to 19 digits as a number: blanks and a trailing ``.0`` do not count; null if it is
+    none or beyond 2^63 - 1."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(\d{1,18})(?:\.0+)?\s*$", 1).try_cast("bigint")
+    return F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(\d{1,19})(?:\.0+)?\s*$", 1).try_cast("bigint")
 
 
 def id_text(col: Column | str) -> Column:

@@ -2,10 +2,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomwork.operators.packed import Grammar, split_packed
+from loomwork.operators.packed import ID_DELIMITERS, Grammar, split_packed
 from loomwork.operators.skew import global_row_number, lookup_join
 
-G = Grammar()
+G = Grammar(ID_DELIMITERS, packed_ids=True)
+TEXTS = Grammar()
 
 
 def values(text):
@@ -23,6 +24,23 @@ def test_ordered_alternatives():
     assert values("") == [] and values(",;|") == []
 
 
+def test_text_values():
+    read = lambda t: [v for v, _ in TEXTS.parse(t)]
+    assert read('"Smith, John"; x') == ["Smith, John", "x"] and read("O'Brien, Lee") == ["O'Brien", "Lee"]
+    assert read('"a ""b"" c"') == ['a "b" c'] and read(r'"a \"b\" c", d') == ['a "b" c', "d"] and read("2017/10/31") == ["2017/10/31"]
+    assert read("[red, 'dark blue', (x; y)] | end") == ["red", "dark blue", "x", "y", "end"]
+    assert read('"C:\\", d') == ["C:\\", "d"] and read("rock 'n' roll, b") == ["rock 'n' roll", "b"] and read('"", b') == ["", "b"]
+    assert TEXTS.parse('"a" b, c') == [('"a" b', "text after quote"), ("c", None)] and TEXTS.parse('a, "b, c') == [("a", None), ("b", "open quote"), ("c", "open quote")]
+    assert TEXTS.parse("x, [a, b") == [("x", None), ("a", "open bracket"), ("b", "open bracket")] and TEXTS.parse("a], b") == [("a]", "stray ]"), ("b", None)]
+
+
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=8), max_size=6), st.sampled_from(['"', "'"]), st.sampled_from([",", "; ", "|", "\t"]))
+@settings(max_examples=150, deadline=None)
+def test_quoted_round_trip(texts, q, sep):
+    field = sep.join(q + t.replace("\\", "\\\\").replace(q, q + q) + q for t in texts)
+    assert TEXTS.parse(field) == [(t, None) for t in texts]
+
+
 @given(st.lists(st.integers(10**9, 10**10 - 1), max_size=8), st.sampled_from([",", ";", " | ", "\t", "/", ",,"]))
 @settings(max_examples=60, deadline=None)
 def test_round_trip(ids, sep):
@@ -31,10 +49,10 @@ def test_round_trip(ids, sep):
 
 def test_split_rows(spark):
     df = spark.createDataFrame([(1, "5"), (2, None), (3, " "), (4, "nan"), (5, "7;8,8"), (6, '"9'), (7, "4," * 3000)], "id int, f string").withColumn("value", F.lit(0))
-    rows = {(r.id, r.position, r.value, r.error) for r in split_packed(df, "f", ["id"]).filter("id < 7").collect()}
+    rows = {(r.id, r.position, r.value, r.error) for r in split_packed(df, "f", ["id"], packed_ids=True).filter("id < 7").collect()}
     assert rows == {(1, 1, "5", None), (5, 1, "7", None), (5, 2, "8", None), (5, 3, "8", None), (6, 1, "9", "open quote")}
-    assert split_packed(df, "f", ["id"]).filter("id = 7").count() == 3000
-    assert split_packed(df.filter("id > 99"), "f", ["id"]).count() == 0
+    assert split_packed(df, "f", ["id"], packed_ids=True).filter("id = 7").count() == 3000
+    assert split_packed(df.filter("id > 99"), "f", ["id"], packed_ids=True).count() == 0
 
 
 def test_hot_keys_lose_no_row(spark):
