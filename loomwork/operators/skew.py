@@ -23,11 +23,10 @@ def lookup_join(
     how: str = "inner",
     hot_weight: int = HOT_WEIGHT,
 ) -> DataFrame:
-    """Join ``left`` to ``right``, whose ``key`` is unique and whose ``weight``
-    counts the rows of ``left`` with that key.
+    """Join ``left`` to ``right``, whose ``weight`` counts the rows of ``left`` with its key.
 
     One shuffle join over (key, salt), each side read once.  A key of ``hot_weight`` rows
-    or more is hot: its row of ``right`` is repeated once for every ``hot_weight``
+    or more is hot: its rows of ``right`` are repeated once for every ``hot_weight``
     rows, and the rows of ``left`` are spread over the repeats by a hash of all their columns.
     Only hashes of hot keys are broadcast, at most ``HOT_KEYS`` numbers, taken by falling
     weight; a key beyond that bound, or one with an equal hash, is joined all the same.
@@ -38,10 +37,10 @@ def lookup_join(
     hot = (
         right.filter((F.col(weight) >= hot_weight) & F.col(key).isNotNull())
         .select(F.xxhash64(key).alias("__h"), F.ceil(F.col(weight) / hot_weight).cast("int").alias("__reps"))
-        .orderBy(F.desc("__reps"), "__h")
-        .limit(HOT_KEYS)
         .groupBy("__h")
         .agg(F.max("__reps").alias("__reps"))
+        .orderBy(F.desc("__reps"), "__h")
+        .limit(HOT_KEYS)
     )
     if hot.isEmpty():
         return left.join(right, key, how)
