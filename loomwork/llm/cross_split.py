@@ -10,7 +10,10 @@ Method: weighted cosine join over inverted lists.
    can still reach the threshold ``t``.  From position i on, a partner gets at most the
    residual norm ||x[i:]|| and at most sum x[j] * maxweight(j) over the other split.
    Where either bound falls below t the prefix ends; no pair at or above t is lost.
-4. Classes that share a prefix term are candidates; their dot product is exact.
+4. The lists are joined by term and the products summed up by pair.  After the last term two
+   prefixes share, the rest of their product is at most the product of the residual norms
+   there; pairs whose sum and rest stay below t are dropped.  Only numbers are shuffled here.
+5. Only for the pairs left the whole vectors are fetched; their dot product is exact.
 """
 
 from __future__ import annotations
@@ -26,15 +29,15 @@ EPS = 1e-9
 
 
 def word_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``id, cls, n_members`` and classes ``cls, terms, n_members`` of ``records (id, text)``.
+    """Members ``id, cls`` and classes ``cls, terms, n_members`` of ``records (id, text)``.
 
     ``terms`` are the distinct words of the text without mentions and links; records without words are left out."""
     terms = F.array_sort(F.array_distinct(words(without_links(F.coalesce(F.col("text"), F.lit(""))))))
-    rows = records.select("id", terms.alias("terms")).filter((F.size("terms") > 0) & F.col("id").isNotNull())
-    rows = written(rows.select("id", F.md5(F.array_join("terms", " ")).alias("cls"), "terms"), "split")
-    members = rows.select("id", "cls").distinct()
+    # filtered when written: a filter before would compute the words twice
+    rows = written(records.select("id", terms.alias("terms")).filter(F.col("id").isNotNull()), "split").filter(F.size("terms") > 0)
+    rows = rows.withColumn("cls", F.md5(F.array_join("terms", " ")))
     classes = rows.groupBy("cls").agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
-    return members, written(classes, "classes")
+    return rows.select("id", "cls").distinct(), written(classes, "classes")
 
 
 def _weight(scheme: str, df: Column, n: int) -> Column:
@@ -58,27 +61,23 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, sche
     stats = written(
         counts.withColumn("df", F.col("l_df") + F.col("r_df")).withColumn("w", _weight(scheme, F.col("df"), n)), "terms"
     )
-    l_vec = written(_vectors(l_terms, stats.select("term", "df", "w", F.col("l_df").alias("n"))), "left-vectors")
-    l_max = (
-        l_vec.select(F.explode("vec").alias("x"))
-        .groupBy(F.col("x.term").alias("term"))
-        .agg(F.max("x.wn").alias("top"))
-    )
-    r_stats = written(
-        stats.join(l_max, "term", "left").select("term", "df", "w", F.coalesce("top", F.lit(0.0)).alias("top"), F.col("r_df").alias("n")),
-        "right-terms",
-    )
+    l_stats = stats.select("term", "df", "w", F.col("r_df").alias("other"), F.col("l_df").alias("n")).filter("n > 0")
+    l_vec = written(_vectors(l_terms, l_stats), "left-vectors")
+    l_max = l_vec.select(F.explode("vec").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.max("x.wn").alias("top"))
+    r_stats = stats.filter("r_df > 0").join(l_max, "term", "left")
+    r_stats = written(r_stats.select("term", "df", "w", F.coalesce("top", F.lit(0.0)).alias("top"), F.col("r_df").alias("n")), "right-terms")
     r_vec = written(_vectors(r_terms, r_stats), "right-vectors")
-    l_pre = _prefix(l_vec, threshold, with_top=False).withColumnRenamed("cls", "l_cls")
-    r_pre = _prefix(r_vec, threshold, with_top=True).withColumnRenamed("cls", "r_cls")
-    # vectors of unit weights reach t only if the shorter has t * t of the longer's terms
-    n_terms = F.size("vec").alias("n")
-    l_n = l_vec.select(F.col("cls").alias("l_cls"), n_terms).withColumnRenamed("n", "l_size")
-    r_n = r_vec.select(F.col("cls").alias("r_cls"), n_terms).withColumnRenamed("n", "r_size")
-    postings = r_pre.join(r_n, "r_cls").join(l_pre.join(l_n, "l_cls"), "term")
+    l_pre = written(_prefix(l_vec, threshold, "other", with_top=False).select("term", *[F.col(c).alias("l_" + c) for c in ("cls", "wn", "res", "size", "extra")]), "left-lists")
+    r_pre = _prefix(r_vec, threshold, "top", with_top=True).select("term", *[F.col(c).alias("r_" + c) for c in ("cls", "wn", "res", "size")])
+    postings = lookup_join(r_pre, l_pre.filter("l_extra > 0"), "term", "l_extra")
     if scheme == "unit":
+        # vectors of unit weights reach t only if the shorter has t * t of the longer's terms
         postings = postings.filter(F.least("l_size", "r_size") >= (threshold * threshold - EPS) * F.greatest("l_size", "r_size"))
-    pairs = written(postings.select("l_cls", "r_cls", "l_size", "r_size").distinct(), "candidates")
+    sums = postings.groupBy("l_cls", "r_cls").agg(
+        F.sum(F.col("l_wn") * F.col("r_wn")).alias("dot"), F.min("l_res").alias("l_res"), F.min("r_res").alias("r_res"), F.max("l_size").alias("l_size"), F.max("r_size").alias("r_size")
+    )
+    pairs = sums.filter(F.col("dot") + F.col("l_res") * F.col("r_res") >= threshold - EPS).select("l_cls", "r_cls", "l_size", "r_size")
+    pairs = written(pairs, "candidates")
     terms_of = F.transform("vec", lambda x: x["term"])
     weights_of = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["term"], x["wn"])))
     l_side = l_vec.select(F.col("cls").alias("l_cls"), terms_of.alias("l_terms"), weights_of.alias("l_w"))
@@ -89,13 +88,13 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, sche
         cosine = shared / F.sqrt(F.col("l_size") * F.col("r_size"))
     else:
         cosine = F.aggregate("common", F.lit(0.0), lambda a, t: a + F.try_element_at("l_w", t) * F.try_element_at("r_w", t))
-    scored = common.select("l_cls", "r_cls", "l_size", "r_size", cosine.alias("cosine"), shared.alias("shared"))
+    scored = written(common.select("l_cls", "r_cls", "l_size", "r_size", cosine.alias("cosine"), shared.alias("shared")), "scored")
     return scored.filter(F.col("cosine") >= threshold - EPS)
 
 
 def _vectors(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """``cls, vec<df, term, wn[, top]>``: terms by rising frequency, weights of a unit vector."""
-    extra = [c for c in stats.columns if c == "top"]
+    """``cls, vec<df, term, wn[, top or other]>``: terms by rising frequency, weights of a unit vector."""
+    extra = [c for c in stats.columns if c in ("top", "other")]
     rows = lookup_join(terms, stats, "term", "n")
     vec = rows.groupBy("cls").agg(
         F.array_sort(F.collect_list(F.struct("df", "term", F.col("w").alias("wn"), *extra))).alias("v"),
@@ -110,11 +109,12 @@ def _vectors(terms: DataFrame, stats: DataFrame) -> DataFrame:
     return vec.select("cls", scale.alias("vec"))
 
 
-def _prefix(vectors: DataFrame, threshold: float, with_top: bool) -> DataFrame:
-    """``cls, term`` of the prefixes."""
+def _prefix(vectors: DataFrame, threshold: float, extra: str, with_top: bool) -> DataFrame:
+    """``cls, term, wn, res, size, extra`` of the prefixes; ``res`` is the norm of what follows the term."""
     # residuals from position i on, by running sums from the end
     back = F.reverse("vec")
-    first = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mx"), F.array().cast("array<string>").alias("keep"))
+    kept = "array<struct<term:string,wn:double,res:double,extra:double>>"
+    first = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mx"), F.array().cast(kept).alias("keep"))
 
     def step(acc: Column, x: Column) -> Column:
         sq = acc["sq"] + x["wn"] * x["wn"]
@@ -122,10 +122,12 @@ def _prefix(vectors: DataFrame, threshold: float, with_top: bool) -> DataFrame:
         reach = sq >= (threshold - EPS) ** 2
         if with_top:
             reach = reach & (mx >= threshold - EPS) & (x["top"] > 0)
-        keep = F.when(reach, F.concat(acc["keep"], F.array(x["term"]))).otherwise(acc["keep"])
+        one = F.struct(x["term"].alias("term"), x["wn"].alias("wn"), F.sqrt(acc["sq"]).alias("res"), x[extra].cast("double").alias("extra"))
+        keep = F.when(reach, F.concat(acc["keep"], F.array(one))).otherwise(acc["keep"])
         return F.struct(sq.alias("sq"), mx.alias("mx"), keep.alias("keep"))
 
-    return vectors.select("cls", F.explode(F.aggregate(back, first, step)["keep"]).alias("term"))
+    rows = vectors.select("cls", F.size("vec").alias("size"), F.explode(F.aggregate(back, first, step)["keep"]).alias("x"))
+    return rows.select("cls", "size", "x.*")
 
 
 def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, dice: float = 0.8) -> DataFrame:
@@ -147,15 +149,10 @@ def cross_split_overlaps(evaluation: DataFrame, training: DataFrame, dice: float
 
 def attach_members(pairs: DataFrame, l_members: DataFrame, r_members: DataFrame, r_classes: DataFrame) -> DataFrame:
     """The members of matching classes.  A class of very many training records is joined where they lie."""
-    by_right = pairs.groupBy(F.col("r_cls").alias("cls")).agg(
-        F.collect_list(F.struct("l_cls", "shared", "l_size", "r_size", "cosine")).alias("with")
-    )
-    by_right = written(by_right.join(r_classes.select("cls", "n_members"), "cls"), "matches")
-    rows = lookup_join(r_members, by_right, "cls", "n_members").select(
-        F.col("id").alias("train_id"), F.col("cls").alias("r_cls"), F.explode("with").alias("w")
-    )
+    sized = written(pairs.join(r_classes.select(F.col("cls").alias("r_cls"), "n_members"), "r_cls").withColumnRenamed("r_cls", "cls"), "matches")
+    rows = lookup_join(r_members.select(F.col("id").alias("train_id"), "cls"), sized, "cls", "n_members").withColumnRenamed("cls", "r_cls")
     left = l_members.select(F.col("id").alias("eval_id"), F.col("cls").alias("l_cls"))
-    return rows.select("train_id", "r_cls", "w.*").join(left, "l_cls").select(
+    return rows.join(left, "l_cls").select(
         "eval_id",
         "train_id",
         "shared",

@@ -127,6 +127,14 @@ select evaluation_split, selection_reason, count(distinct gid) n_golden, count(d
 from pairs join (select distinct cast(tweet_id as bigint) gid, evaluation_split from apple_support_intent_golden_set) using (gid)
 join (select distinct cast(tweet_id as bigint) tid, selection_reason from apple_support_intent_training_candidates) using (tid)
 group by 1, 2"""
+P4_WEIGHTED_SQL = f"""with g as (select row_number() over () i, w from (select distinct list_sort(list_distinct({_sql_words('text', True)})) w from apple_support_intent_golden_set where tweet_id is not null) where len(w) > 0),
+t as (select row_number() over () i, w from (select distinct list_sort(list_distinct({_sql_words('text', True)})) w from apple_support_intent_training_candidates where tweet_id is not null) where len(w) > 0),
+df as (select term, ln(1.0 + ((select count(*) from g) + (select count(*) from t)) / count(*)) x from (select unnest(w) term from g union all select unnest(w) from t) group by 1),
+gx as (select i, term, x from (select i, unnest(w) term from g) join df using (term)), tx as (select i, term, x from (select i, unnest(w) term from t) join df using (term)),
+gn as (select i, sqrt(sum(x * x)) n from gx group by 1), tn as (select i, sqrt(sum(x * x)) n from tx group by 1),
+c as (select gx.i gi, tx.i ti, sum(gx.x * tx.x) d from gx join tx using (term) group by 1, 2),
+s as (select d / (gn.n * tn.n) cosine from c join gn on gn.i = gi join tn on tn.i = ti)
+select cast(least(floor(cosine * 20 + 1e-9), 20) as bigint) twentieth, count(*) n_pairs from s where cosine >= 0.8 - 1e-9 group by 1"""
 P9_SQL = f"""with d as (select doc_id, {_sql_words('text', False)} w from documents),
 i as (select benchmark_id, {_sql_words('customer_message', False)} w from benchmark_cases),
 dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) g from d where len(w) >= 12),
@@ -174,7 +182,7 @@ def p3_corrected(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("n_turns").agg(F.count("*").alias("n_conversations"), F.sum("n_moved").alias("n_moved"))
 
 
-_ID_SQL = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,18}})(\\.0+)?\\s*$', 1) as bigint)"
+_ID_SQL = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,19}})(\\.0+)?\\s*$', 1) as bigint)"
 _TIME_SQL = (
     "case when regexp_matches(trim(coalesce(created_at,'')), '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \\d{2} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4} \\d{4}$') "
     "then epoch(try_strptime(substr(trim(created_at), 5), '%b %d %H:%M:%S %z %Y')) end"
@@ -215,7 +223,7 @@ QUERIES = {
     "p5_copies": (p5_copies, None),
     "p4_found": (p4_found, P4_SQL),
     "p4_report": (p4_report, P4_REPORT_SQL),
-    "p4_weighted": (p4_weighted, None),
+    "p4_weighted": (p4_weighted, P4_WEIGHTED_SQL),
     "p9_found": (p9_found, P9_SQL),
     "p9_proximity": (p9_proximity, None),
     "p10_found": (p10_found, None),
