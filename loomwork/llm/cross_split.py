@@ -29,15 +29,17 @@ EPS = 1e-9
 
 
 def word_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members ``id, cls`` and classes ``cls, terms, n_members`` of ``records (id, text)``.
+    """Members ``id, cls`` and classes ``cls (a number), terms, n_members`` of ``records (id, text)``.
 
     ``terms`` are the distinct words of the text without mentions and links; records without words are left out."""
     terms = F.array_sort(F.array_distinct(words(without_links(F.coalesce(F.col("text"), F.lit(""))))))
     # filtered when written: a filter before would compute the words twice
     rows = written(records.select("id", terms.alias("terms")).filter(F.col("id").isNotNull()), "split").filter(F.size("terms") > 0)
-    rows = rows.withColumn("cls", F.md5(F.array_join("terms", " ")))
-    classes = rows.groupBy("cls").agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
-    return rows.select("id", "cls").distinct(), written(classes, "classes")
+    rows = rows.withColumn("digest", F.unhex(F.md5(F.array_join("terms", " "))))
+    classes = rows.groupBy("digest").agg(F.first("terms").alias("terms"), F.count("*").alias("n_members"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    members = lookup_join(rows.select("id", "digest"), classes.select("digest", "cls", "n_members"), "digest", "n_members")
+    return members.select("id", "cls").distinct(), classes.drop("digest")
 
 
 def _weight(scheme: str, df: Column, n: int) -> Column:
@@ -58,71 +60,70 @@ def cosine_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.8, sche
         .agg(F.sum("l").alias("l_df"), F.sum("r").alias("r_df"))
     )
     n = left.count() + right.count()
-    stats = written(
-        counts.withColumn("df", F.col("l_df") + F.col("r_df")).withColumn("w", _weight(scheme, F.col("df"), n)), "terms"
-    )
-    l_stats = stats.select("term", "df", "w", F.col("r_df").alias("other"), F.col("l_df").alias("n")).filter("n > 0")
-    l_vec = written(_vectors(l_terms, l_stats), "left-vectors")
-    l_max = l_vec.select(F.explode("vec").alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.max("x.wn").alias("top"))
-    r_stats = stats.filter("r_df > 0").join(l_max, "term", "left")
-    r_stats = written(r_stats.select("term", "df", "w", F.coalesce("top", F.lit(0.0)).alias("top"), F.col("r_df").alias("n")), "right-terms")
-    r_vec = written(_vectors(r_terms, r_stats), "right-vectors")
-    l_pre = written(_prefix(l_vec, threshold, "other", with_top=False).select("term", *[F.col(c).alias("l_" + c) for c in ("cls", "wn", "res", "size", "extra")]), "left-lists")
-    r_pre = _prefix(r_vec, threshold, "top", with_top=True).select("term", *[F.col(c).alias("r_" + c) for c in ("cls", "wn", "res", "size")])
-    postings = lookup_join(r_pre, l_pre.filter("l_extra > 0"), "term", "l_extra")
+    df = F.col("l_df") + F.col("r_df")
+    # terms go by numbers from here on
+    stats = written(counts.select("term", "l_df", "r_df", df.alias("df"), _weight(scheme, df, n).alias("w"), F.monotonically_increasing_id().alias("k")), "terms")
+    l_stats = stats.filter("l_df > 0").select("term", "k", "df", "w", F.col("r_df").cast("double").alias("other"), F.col("l_df").alias("n"))
+    l_vec = written(_vectors(l_terms, l_stats, "other"), "left-vectors")
+    l_max = l_vec.select(F.explode("vec").alias("x")).groupBy(F.col("x.k").alias("k")).agg(F.max("x.wn").alias("top"))
+    r_stats = stats.filter("r_df > 0").join(l_max, "k", "left").select("term", "k", "df", "w", F.coalesce("top", F.lit(0.0)).alias("top"), F.col("r_df").alias("n"))
+    r_vec = written(_vectors(r_terms, written(r_stats, "right-terms"), "top"), "right-vectors")
+    cols = ("cls", "wn", "res", "size")
+    l_pre = _prefix(l_vec, threshold, with_top=False).select("k", *[F.col(c).alias("l_" + c) for c in cols], F.col("extra").alias("r_df")).filter("r_df > 0")
+    r_pre = _prefix(r_vec, threshold, with_top=True).select("k", *[F.col(c).alias("r_" + c) for c in cols])
+    postings = lookup_join(r_pre, written(l_pre, "left-lists"), "k", "r_df")
+    size = F.sqrt(F.col("l_size").cast("double") * F.col("r_size"))
     if scheme == "unit":
         # vectors of unit weights reach t only if the shorter has t * t of the longer's terms
         postings = postings.filter(F.least("l_size", "r_size") >= (threshold * threshold - EPS) * F.greatest("l_size", "r_size"))
     sums = postings.groupBy("l_cls", "r_cls").agg(
         F.sum(F.col("l_wn") * F.col("r_wn")).alias("dot"), F.min("l_res").alias("l_res"), F.min("r_res").alias("r_res"), F.max("l_size").alias("l_size"), F.max("r_size").alias("r_size")
     )
-    pairs = sums.filter(F.col("dot") + F.col("l_res") * F.col("r_res") >= threshold - EPS).select("l_cls", "r_cls", "l_size", "r_size")
-    pairs = written(pairs, "candidates")
-    terms_of = F.transform("vec", lambda x: x["term"])
-    weights_of = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["term"], x["wn"])))
-    l_side = l_vec.select(F.col("cls").alias("l_cls"), terms_of.alias("l_terms"), weights_of.alias("l_w"))
-    r_side = r_vec.select(F.col("cls").alias("r_cls"), terms_of.alias("r_terms"), weights_of.alias("r_w"))
+    rest = F.col("l_res") * F.col("r_res")
+    if scheme == "unit":  # as many terms as the shorter rest has
+        rest = F.least(F.col("l_res") * F.col("l_res") * F.col("l_size"), F.col("r_res") * F.col("r_res") * F.col("r_size")) / size
+    pairs = written(sums.filter(F.col("dot") + rest >= threshold - EPS).select("l_cls", "r_cls", "l_size", "r_size"), "candidates")
+    ids = F.transform("vec", lambda x: x["k"])
+    weights = F.map_from_entries(F.transform("vec", lambda x: F.struct(x["k"], x["wn"])))
+    l_side = l_vec.select(F.col("cls").alias("l_cls"), ids.alias("l_terms"), F.col("norm").alias("l_norm"), *([weights.alias("l_w")] if scheme != "unit" else []))
+    r_side = r_vec.select(F.col("cls").alias("r_cls"), ids.alias("r_terms"), F.col("norm").alias("r_norm"))
     common = pairs.join(l_side, "l_cls").join(r_side, "r_cls").withColumn("common", F.array_intersect("l_terms", "r_terms"))
     shared = F.size("common")
     if scheme == "unit":
-        cosine = shared / F.sqrt(F.col("l_size") * F.col("r_size"))
-    else:
-        cosine = F.aggregate("common", F.lit(0.0), lambda a, t: a + F.try_element_at("l_w", t) * F.try_element_at("r_w", t))
+        cosine = shared / size
+    else:  # a term has the same weight on both sides, only the lengths differ
+        cosine = F.aggregate("common", F.lit(0.0), lambda a, t: a + F.pow(F.try_element_at("l_w", t), F.lit(2))) * F.col("l_norm") / F.col("r_norm")
     scored = written(common.select("l_cls", "r_cls", "l_size", "r_size", cosine.alias("cosine"), shared.alias("shared")), "scored")
     return scored.filter(F.col("cosine") >= threshold - EPS)
 
 
-def _vectors(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    """``cls, vec<df, term, wn[, top or other]>``: terms by rising frequency, weights of a unit vector."""
-    extra = [c for c in stats.columns if c in ("top", "other")]
+def _vectors(terms: DataFrame, stats: DataFrame, extra: str) -> DataFrame:
+    """``cls, norm, vec<df, k, wn, extra>``: terms by rising frequency, weights of a unit vector."""
     rows = lookup_join(terms, stats, "term", "n")
     vec = rows.groupBy("cls").agg(
-        F.array_sort(F.collect_list(F.struct("df", "term", F.col("w").alias("wn"), *extra))).alias("v"),
+        F.array_sort(F.collect_list(F.struct("df", "k", F.col("w").alias("wn"), F.col(extra).alias("extra")))).alias("v"),
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
     )
-    scale = F.transform(
-        "v",
-        lambda x: F.struct(
-            x["df"].alias("df"), x["term"].alias("term"), (x["wn"] / F.col("norm")).alias("wn"), *[x[e].alias(e) for e in extra]
-        ),
-    )
-    return vec.select("cls", scale.alias("vec"))
+    scale = F.transform("v", lambda x: F.struct(x["df"].alias("df"), x["k"].alias("k"), (x["wn"] / F.col("norm")).alias("wn"), x["extra"].alias("extra")))
+    return vec.select("cls", "norm", scale.alias("vec"))
+
 
+def _prefix(vectors: DataFrame, threshold: float, with_top: bool) -> DataFrame:
+    """``cls, k, wn, res, size, extra`` of the prefixes; ``res`` is the norm of what follows the term.
 
-def _prefix(vectors: DataFrame, threshold: float, extra: str, with_top: bool) -> DataFrame:
-    """``cls, term, wn, res, size, extra`` of the prefixes; ``res`` is the norm of what follows the term."""
+    ``with_top``: ``extra`` is the largest weight of the term on the other side."""
     # residuals from position i on, by running sums from the end
     back = F.reverse("vec")
-    kept = "array<struct<term:string,wn:double,res:double,extra:double>>"
+    kept = "array<struct<k:bigint,wn:double,res:double,extra:double>>"
     first = F.struct(F.lit(0.0).alias("sq"), F.lit(0.0).alias("mx"), F.array().cast(kept).alias("keep"))
 
     def step(acc: Column, x: Column) -> Column:
         sq = acc["sq"] + x["wn"] * x["wn"]
-        mx = acc["mx"] + (x["wn"] * x["top"] if with_top else F.lit(0.0))
+        mx = acc["mx"] + (x["wn"] * x["extra"] if with_top else F.lit(0.0))
         reach = sq >= (threshold - EPS) ** 2
         if with_top:
-            reach = reach & (mx >= threshold - EPS) & (x["top"] > 0)
-        one = F.struct(x["term"].alias("term"), x["wn"].alias("wn"), F.sqrt(acc["sq"]).alias("res"), x[extra].cast("double").alias("extra"))
+            reach = reach & (mx >= threshold - EPS) & (x["extra"] > 0)
+        one = F.struct(x["k"].alias("k"), x["wn"].alias("wn"), F.sqrt(acc["sq"]).alias("res"), x["extra"].alias("extra"))
         keep = F.when(reach, F.concat(acc["keep"], F.array(one))).otherwise(acc["keep"])
         return F.struct(sq.alias("sq"), mx.alias("mx"), keep.alias("keep"))
 

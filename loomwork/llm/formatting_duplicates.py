@@ -11,9 +11,10 @@ Method: recursive radix partitioning on canonical bytes.
    prefixes take few rounds) until each fits.  A bucket that holds one text only cannot be
    split and needs no splitting, as it has one entry a partition.
 3. Whole buckets are gathered into tasks of about ``task_bytes``; each task counts in a
-   burst trie with terminal counters, which gives copies and smallest id of each text.
+   burst trie with terminal counters, which gives the smallest id and the entries of each text.
 4. The groups of two and more are joined back to the entries by a 128-bit digest; hot
-   groups are broadcast, so their records are never in one task.
+   groups are salted, so their records are never in one task.  Copies are distinct ids:
+   a record that is stored in two partitions counts once.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ TASK_BYTES = 16 << 20
 
 _DROP = re.compile(r"[\W_]+")
 _LEAD = re.compile(r"\s*((?:@\w+[\s:,]*)*)")
-_FIELD = re.compile(r"\s*[^\W\d_][\w \-]{0,30}?\s*[:=]\s*\S")
+_FIELD = re.compile(r"\s*[^\W\d_][\w \t\-]*[:=]\s*\S")
 _BETWEEN = re.compile(r"\s*(?:[,;|\n]|\s/\s)\s*")
 
 
@@ -159,8 +160,8 @@ def radix_buckets(entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCK
         if n_large == 0:
             done.append(with_prefix)
             break
-        # at most total / bucket_bytes buckets are too large: a bounded side
-        large = F.broadcast(sizes.select("bucket"))
+        # at most total / bucket_bytes buckets are too large; their size decides on the join
+        large = sizes.select("bucket")
         done.append(with_prefix.join(large, "bucket", "left_anti").select("key", "n", "first", "bucket"))
         open_ = with_prefix.join(large, "bucket", "left_semi").select("key", "n", "first")
         level += 1
@@ -170,8 +171,10 @@ def radix_buckets(entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCK
     return out, total
 
 
-def count_copies(entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """``digest, first, copies`` of every text that occurs twice or more (by ids, repeats counted once a partition)."""
+def count_copies(
+    entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCKET_BYTES, task_bytes: int = TASK_BYTES, least: int = 2
+) -> DataFrame:
+    """``digest, first, n`` of every text whose counter ``n`` is ``least`` or more (ids, repeats counted once an input partition)."""
     buckets, total = radix_buckets(entries, step, bucket_bytes)
     tasks = max(1, math.ceil(total / task_bytes))
 
@@ -180,39 +183,44 @@ def count_copies(entries: DataFrame, step: int = STEP, bucket_bytes: int = BUCKE
         for pdf in batches:
             for key, n, first in zip(pdf["key"].tolist(), pdf["n"].tolist(), pdf["first"].tolist(), strict=True):
                 trie.add(bytes(key), n, first)
-        rows = [(_digest(k), first, n) for k, n, first in trie.terminals() if n > 1]
+        rows = [(_digest(k), first, n) for k, n, first in trie.terminals() if n >= least]
         for a in range(0, len(rows), 20_000):
-            yield pd.DataFrame(rows[a : a + 20_000], columns=["digest", "first", "copies"])
+            yield pd.DataFrame(rows[a : a + 20_000], columns=["digest", "first", "n"])
 
-    return buckets.repartition(tasks, "bucket").select("key", "n", "first").mapInPandas(
-        count, "digest binary, first bigint, copies bigint"
-    )
+    return buckets.repartition(tasks, "bucket").select("key", "n", "first").mapInPandas(count, "digest binary, first bigint, n bigint")
+
+
+def _members(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct ``digest, first, id`` of the groups that count two or more."""
+    rows = lookup_join(entries.select("digest", "ids"), groups.filter("n > 1"), "digest", "n")
+    return rows.select("digest", "first", F.explode("ids").alias("id")).distinct()
+
+
+def formatting_pairs(records: DataFrame, **sizes: int) -> DataFrame:
+    """Distinct ``first, id``: the smallest id of each group with each other id of it."""
+    entries = written(entries_of(records), "entries")
+    groups = written(count_copies(entries, **sizes), "groups")
+    return _members(entries, groups).filter(F.col("id") != F.col("first")).select("first", "id").distinct()
 
 
 def formatting_groups(records: DataFrame, **sizes: int) -> DataFrame:
-    """``id, first, copies``: every record of a group of two or more, with the smallest id of its group.
+    """``id, first, copies``: every record of a group of two or more, with the smallest id and the ids of its group.
 
     * Null and blank texts and texts without letters and digits belong to no group.
-    * Records that repeat id and text are one; an id with two texts may be in two groups.
+    * Records that repeat id and text are one; an id with two texts may be in two groups, and
+      has a row in each.
     * An empty table gives an empty result; further columns are ignored.
     """
     entries = written(entries_of(records), "entries")
     groups = written(count_copies(entries, **sizes), "groups")
-    rows = lookup_join(entries.select("digest", "ids"), groups, "digest", "copies")
-    return rows.select(F.explode("ids").alias("id"), "first", "copies")
+    members = written(_members(entries, groups), "members")
+    copies = written(members.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    return lookup_join(members, copies, "digest", "copies").select("id", "first", "copies")
 
 
 def collapse(records: DataFrame, **sizes: int) -> DataFrame:
     """One row for each text: ``first`` (smallest id) and ``copies`` (number of ids)."""
     entries = written(entries_of(records), "entries")
-    groups = written(count_copies(entries, **sizes), "groups")
-    members = formatting_members(entries, groups)
-    many = members.groupBy("first").agg(F.count("*").alias("copies"))
-    single = entries.join(groups.select("digest"), "digest", "left_anti").select("first", F.lit(1).cast("bigint").alias("copies"))
-    return many.unionByName(single)
-
-
-def formatting_members(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct ``first, id`` of the groups."""
-    rows = lookup_join(entries.select("digest", "ids"), groups, "digest", "copies")
-    return rows.select("first", "digest", F.explode("ids").alias("id")).distinct().select("first", "id")
+    groups = written(count_copies(entries, least=1, **sizes), "groups")
+    many = _members(entries, groups).groupBy("digest", "first").agg(F.count("*").alias("copies")).select("first", "copies")
+    return groups.filter("n = 1").select("first", F.col("n").alias("copies")).unionByName(many)

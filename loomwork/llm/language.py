@@ -15,6 +15,10 @@ written by host h and holding links of suffix s,
   a flat prior.
 * Address suffix: label counts by last part of the link host, smoothed alike.
 
+A text of ``other_words`` words or more of which less than ``other_share`` are words that speak for its
+language (known words near its maximum) is in none of these languages: ``other``, with the
+share of the remaining words as confidence.
+
 Passages: a Viterbi path over the words, a change of language costing ``switch_cost``.
 A language counts as a passage if its run has ``min_words`` words and evidence of at
 least ``min_evidence`` against the rest of the text.
@@ -38,6 +42,8 @@ from loomwork.operators.skew import lookup_join
 from loomwork.session import written
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "nl", "ja")
+#: The language of texts that are in none of these.
+OTHER = "other"
 #: Labels that name no language.
 NO_LANGUAGE = ("", "und", "unknown", "unk", "null", "none", "nan", "n/a", "na", "xx", "zxx", "mul", "mis", "other", "?", "-", "--")
 
@@ -57,6 +63,8 @@ class Params:
     min_evidence: float = 9.0
     clip: float = 4.0
     proper_weight: float = 0.25
+    other_words: int = 6
+    other_share: float = 0.3
 
 
 def clean_text(text: str) -> str:
@@ -128,8 +136,8 @@ class Scorer:
     def __init__(self, model: TextModel):
         self.model, self.params = model, model.params
         self.ids = dict(model.vocab)
-        self.rows = [*model.table] if model.vocab else []
-        self.matrix = model.table
+        self.n = len(model.vocab)
+        self.matrix = np.concatenate([model.table[: self.n], np.zeros((4096, len(LANGUAGES)), dtype=np.float32)])
 
     def _id(self, word: str) -> int:
         """Row of a word; a capital inside a text makes it a likely name, of less weight."""
@@ -140,13 +148,16 @@ class Scorer:
             row = self.model.unseen(low) if at is None else self.model.table[at]
             if word[0].isupper() and word[-1].islower():
                 row = row * self.params.proper_weight
-            i = self.ids[word] = len(self.rows)
-            self.rows.append(row)
+            i = self.ids[word] = self.n
+            if i == len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[i] = row
+            self.n += 1
         return i
 
     def batch(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
         """Words of each text, the word scores of all, and the place where each text begins."""
-        if len(self.rows) > len(self.model.vocab) + self.MEMORY:
+        if self.n > len(self.model.vocab) + self.MEMORY:
             self.__init__(self.model)
         words = [words_of(clean_text(t)) for t in texts]
         get, ids = self.ids.get, []
@@ -155,12 +166,16 @@ class Scorer:
                 w = w if at else w.lower()
                 i = get(w)
                 ids.append(self._id(w) if i is None else i)
-        if len(self.rows) != len(self.matrix):
-            self.matrix = np.array(self.rows, dtype=np.float32)
         scores = self.matrix[ids] if ids else np.zeros((0, len(LANGUAGES)), dtype=np.float32)
         starts = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(int)
         return words, scores, starts
 
+    def support(self, words: list[str], scores: np.ndarray, lang: int) -> float:
+        """Share of the words (likely names left out) that are known and near their maximum in ``lang``."""
+        known = self.model.vocab
+        seen = [(w.lower() in known, s) for w, s in zip(words, scores[:, lang].tolist(), strict=True) if not (w[0].isupper() and w[-1].islower())]
+        return sum(k and s > -1.5 for k, s in seen) / len(seen) if len(seen) >= self.params.other_words else 1.0
+
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, int]]:
         """``(from word, to word, language)`` runs of the best path."""
         n, cost = len(scores), self.params.switch_cost
@@ -220,6 +235,12 @@ def decide(
                 runs = strong
             elif strong:
                 runs = [(0, len(ws), strong[0][2] if prob[i] < 0.5 else int(top[i]))]
+        if len(runs) == 1 and len(ws) >= p.other_words:
+            share = scorer.support(ws, scores[starts[i] : starts[i + 1]], int(top[i]))
+            if share < p.other_share:
+                langs.append(OTHER), confs.append(1 - share)
+                parts.append([{"lang": OTHER, "confidence": 1 - share, "first_word": 0, "n_words": len(ws)}])
+                continue
         langs.append(LANGUAGES[max(runs, key=lambda r: r[1] - r[0])[2]])
         confs.append(float(prob[i]))
         seen = []
@@ -303,9 +324,9 @@ def identify(rows: DataFrame, params: Params | None = None) -> DataFrame:
     model = fit_text_model(base, params)
     hosts, overall = smoothed_prior(base, "host", params)
     suffixes, _ = smoothed_prior(base, "suffix", params)
-    suffix_rows = suffixes.orderBy(F.desc("n"), "suffix").limit(2000).select("suffix", F.col("prior").alias("suffix_prior"))
     joined = lookup_join(base, written(hosts, "lang-hosts"), "host", "n", "left").drop("n")
-    joined = joined.join(F.broadcast(suffix_rows), "suffix", "left")
+    suffix_rows = written(suffixes.withColumnRenamed("prior", "suffix_prior"), "lang-suffixes")
+    joined = lookup_join(joined, suffix_rows, "suffix", "n", "left").drop("n")
     sent = base.sparkSession.sparkContext.broadcast(model)
     schema = (
         "key " + base.schema["key"].dataType.simpleString() + ", declared string, lang string, confidence double, "

@@ -3,16 +3,16 @@
 Method: a distributed positional inverted index.
 
 1. Index: a term is a word with the word after it (its list is the intersection of both
-   words' lists one place apart); every place of every document is a posting ``term, doc_id,
-   pos``.  Each task sorts its own postings by term, so the index is split by documents
-   and needs no shuffle.
+   words' lists one place apart), kept as a hash of both; every place of every document is a
+   posting ``term, doc_id, pos``.  Each task sorts its own postings by term, so the index is
+   split by documents and needs no shuffle.
 2. Query: in every window of ``n`` words of an item the two rarest terms of the corpus are
    its anchors.  The anchors' lists are read in one pass; the place in the item subtracted
    from the place in the document gives the offset, and both lists of a window must
    hold the same offset.  Postings of a document lie in one task, so this is counted there
    before anything is shuffled.
 3. The documents left are compared with the item at that offset, place by place; ``n``
-   places in a row without a gap are a phrase match.
+   places in a row without a gap are a phrase match.  Terms with equal hashes end here.
 
 Proximity matches (``n`` places of the item within ``slack`` places of one offset) may lack
 any word, so no anchors will do: the lists of all words of the items are intersected
@@ -42,7 +42,7 @@ PIECE_WORDS = 20_000
 
 def _terms(rows: DataFrame, keep: list[str], pos: str) -> DataFrame:
     """``keep``, ``pos`` and ``term`` of every place of ``rows (keep, w)``."""
-    pairs = F.transform("w", lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    pairs = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1)))
     return rows.select(*keep, F.posexplode(pairs).alias(pos, "term"))
 
 
@@ -51,7 +51,7 @@ def build_index(documents: DataFrame) -> DataFrame:
 
     Null and blank texts have no postings."""
     rows = _terms(documents.select("doc_id", words("text").alias("w")), ["doc_id"], "pos")
-    return written(rows.select("term", "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos"), "postings")
+    return written(rows.select("term", "doc_id", "pos").sortWithinPartitions("term"), "postings")
 
 
 def item_texts(items: DataFrame, n: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Texts packed into containers of a fixed number of tokens.
 
 Method: vector best-fit.  A container has three capacities: tokens, documents and
-attention cost (the sum of squared lengths).  Items are taken by falling size; of the open
+attention cost (the sum of squared lengths, at most ``attention`` of the square of the tokens;
+an item that needs more alone has a container of its own).  Items are taken by falling size; of the open
 containers that can hold an item under every constraint the one is chosen whose weighted
 residual vector is shortest afterwards (``norm``) or has the largest weighted dot product
 with the item (``dot``).
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,37 +29,42 @@ from loomwork.session import written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD_ITEMS = 4000
+MAX_DOCS = 128
+#: Share of the full attention cost (the square of the tokens) that a container may have.
+ATTENTION = 0.75
 #: Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
-def token_counter(path: str) -> Callable[[list[str]], list[int]]:
-    """Counts tokens with the vocabulary file at ``path`` (.tiktoken, .json or .model)."""
-    if path.endswith(".tiktoken"):
+def token_counter(name: str, vocabulary: bytes) -> Callable[[list[str]], list[int]]:
+    """Counts tokens with the content of a vocabulary file called ``name`` (.tiktoken, .json or .model)."""
+    if name.endswith(".tiktoken"):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
-    if path.endswith(".json"):
+    if name.endswith(".json"):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
+        tok = Tokenizer.from_buffer(vocabulary)
         tok.encode_special_tokens = True
         return lambda texts: [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=vocabulary)
     return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
 
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of ``documents (doc_id, text)``; null texts have none."""
+    """``doc_id, n_tokens`` of ``documents (doc_id, text)``; null texts have none.
+
+    The vocabulary file is read by the driver and sent to the executors, which need no copy of it."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    sent = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = token_counter(tokenizer)
+        counter = token_counter(tokenizer, sent.value)
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counter([t if isinstance(t, str) else "" for t in pdf["text"]])})
 
@@ -109,8 +116,8 @@ def best_fit(
 def pack(
     sizes: DataFrame,
     budgets: DataFrame,
-    max_docs: int = 128,
-    attention: float = 1.0,
+    max_docs: int = MAX_DOCS,
+    attention: float = ATTENTION,
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1),
     rule: str = "norm",
     shard_items: int = SHARD_ITEMS,
@@ -177,11 +184,24 @@ def pack(
     return out
 
 
-def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """``budget_id, capacity_tokens, n_bins, n_tokens, fill``."""
-    per = packed.groupBy("budget_id").agg(F.countDistinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"))
+def fill_report(packed: DataFrame, budgets: DataFrame, max_docs: int = MAX_DOCS, attention: float = ATTENTION) -> DataFrame:
+    """``budget_id, capacity_tokens, n_bins, least_bins, n_tokens, fill``.
+
+    ``least_bins`` is a bound that no packing can go below: a container for each piece that fills
+    the tokens or the attention cost alone, and for the rest what the scarcest capacity needs."""
     room = budgets.select("budget_id", "capacity_tokens").dropDuplicates(["budget_id"])
-    return per.join(room, "budget_id").select(
-        "budget_id", "capacity_tokens", "n_bins", "n_tokens",
+    rows = packed.join(room, "budget_id")
+    cap = F.col("capacity_tokens").cast("double")
+    square = F.col("n_tokens").cast("double") * F.col("n_tokens")
+    alone = (F.col("n_tokens") >= F.col("capacity_tokens")) | (square >= F.lit(attention) * cap * cap)
+    rest = lambda x: F.sum(F.when(~alone, x).otherwise(0))
+    per = rows.groupBy("budget_id", "capacity_tokens").agg(
+        F.countDistinct("bin_id").alias("n_bins"), F.sum("n_tokens").alias("n_tokens"), F.count_if(alone).alias("n_alone"),
+        rest(F.col("n_tokens")).alias("rest_tokens"), rest(square).alias("rest_attention"), F.count_if(~alone).alias("n_rest"),
+    )
+    needs = [F.col("rest_tokens") / cap, F.col("n_rest") / F.lit(float(max_docs)), F.col("rest_attention") / (F.lit(attention) * cap * cap)]
+    least = F.col("n_alone") + F.greatest(*[F.ceil(x - 1e-9) for x in needs])
+    return per.select(
+        "budget_id", "capacity_tokens", "n_bins", least.cast("bigint").alias("least_bins"), "n_tokens",
         F.round(F.col("n_tokens") / (F.col("n_bins") * F.col("capacity_tokens")), 4).alias("fill"),
     )

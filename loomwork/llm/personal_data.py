@@ -2,15 +2,18 @@
 
 Found: e-mail addresses (also written out with "at" and "dot"), phone numbers, identity
 numbers given by an authority, street addresses with a number, names of persons.
+Dates of birth after their labels are replaced as well; they are no type of ``types_found``.
 Method for the replacement: format-preserving Feistel pseudonyms.  The digits and
 capital letters of a validated number are permuted by a keyed Feistel network within
-their format, so separators and length stay and equal values stay equal in every
-document, while the value cannot be read back without the key.  Values without a
-number format (names, addresses, e-mail addresses) get a keyed token.
+their format, so separators, length and country code stay and equal values stay equal in
+every document, while the value cannot be read back without the key.  A valid date becomes
+another valid date in the same notation.  Values without a number format (names, addresses,
+e-mail addresses) get a keyed token of 16 bytes.  The key is the caller's; there is no default.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 from collections.abc import Iterator
@@ -23,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "street_address", "name")
-DEFAULT_KEY = b"loomwork"
 
 # ---------------------------------------------------------------- Feistel network
 
@@ -64,23 +66,82 @@ def feistel(value: str, key: bytes, tweak: bytes = b"", radix: int = 10, back: b
     return text(a, widths[0]) + text(b, widths[1])
 
 
-def pseudonym(value: str, kind: str, key: bytes = DEFAULT_KEY) -> str:
-    """Digits and capitals permuted in place, everything else kept."""
-    tweak = kind.encode()
-    digits = iter(feistel("".join(c for c in value if c in "0123456789"), key, tweak))
-    caps = [c for c in value if "A" <= c <= "Z"]
+def pseudonym(value: str, kind: str, key: bytes) -> str:
+    """Digits and capitals permuted in place, everything else kept; of a phone number also the country code."""
+    kept = 0
+    if kind == "phone" and (m := _COUNTRY.match(value)):
+        kept = m.end()
+    tweak, body = kind.encode(), value[kept:]
+    digits = iter(feistel("".join(c for c in body if c in "0123456789"), key, tweak))
+    caps = [c for c in body if "A" <= c <= "Z"]
     nums = feistel("".join("0123456789abcdefghijklmnop"[ord(c) - 65] for c in caps), key, tweak, radix=26)
     letters = iter(chr(65 + "0123456789abcdefghijklmnop".index(c)) for c in nums)
-    return "".join(next(digits) if c in "0123456789" else next(letters) if "A" <= c <= "Z" else c for c in value)
+    return value[:kept] + "".join(next(digits) if c in "0123456789" else next(letters) if "A" <= c <= "Z" else c for c in body)
 
 
-def token(value: str, key: bytes = DEFAULT_KEY) -> str:
+def read_date(value: str) -> tuple[datetime.date, str] | None:
+    """A date of the calendar from 1900 to 2099 and its notation (``ymd``, ``dmy`` or ``mdy``); None if there is none."""
+    m = _DATE.fullmatch(value)
+    if not m:
+        return None
+    a, b, c = (int(x) for x in (m["a"], m["b"], m["c"]))
+    orders = [("ymd", a, b, c)] if len(m["a"]) == 4 else [("dmy", c, b, a), ("mdy", c, a, b)]
+    for order, y, month, day in orders:
+        if 1900 <= y <= 2099:
+            try:
+                return datetime.date(y, month, day), order
+            except ValueError:
+                continue
+    return None
+
+
+def date_pseudonym(value: str, key: bytes) -> str:
+    """Another date in the same notation: the days of two centuries, keyed-permuted."""
+    found = read_date(value)
+    if not found:
+        return pseudonym(value, "birth_date", key)
+    first = datetime.date(1900, 1, 1)
+    days = (datetime.date(2099, 12, 31) - first).days + 1
+    n = (found[0] - first).days
+    while True:  # walks the cycle of a permutation of five digits until it is a day again
+        n = int(feistel(f"{n:05d}", key, b"birth_date"))
+        if n < days:
+            break
+    new, m = first + datetime.timedelta(n), _DATE.fullmatch(value)
+    part = {"y": new.year, "m": new.month, "d": new.day}
+    out = [str(part[x]).zfill(len(m[g])) for x, g in zip(found[1], "abc", strict=True)]
+    return f"{out[0]}{m['s']}{out[1]}{m['s']}{out[2]}"
+
+
+def token(value: str, key: bytes) -> str:
     """A keyed token of a value, the same for other case and spacing."""
-    return hashlib.blake2b(re.sub(r"\s+", " ", value).strip().casefold().encode(), key=key, digest_size=5).hexdigest()
+    return hashlib.blake2b(re.sub(r"\s+", " ", value).strip().casefold().encode(), key=key, digest_size=16).hexdigest()
+
+
+def plausible_number(value: str, kind: str) -> bool:
+    """Whether a number can be one of its kind: it is not one digit repeated; no group of a number in the shape of a
+    social security number is zero, nor its first one 666; a phone number has 7 to 15 digits and no country code 0."""
+    digits = re.sub(r"\D", "", value)
+    if len(set(digits)) < 2:
+        return False
+    if kind == "phone":
+        return 7 <= len(digits) <= 15 and not value.lstrip("( ").startswith("+0")
+    groups = _SSN.fullmatch(value.strip())
+    return not groups or (all(int(g) for g in groups.groups()) and groups[1] != "666")
 
 
 # ---------------------------------------------------------------- patterns
 
+_COUNTRY = re.compile(r"\+(?:1|7|\d{2,3}(?=[\s.(-])|\d{2})")
+_SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})")
+_DATE = re.compile(r"(?P<a>\d{1,4})(?P<s>[./-])(?P<b>\d{1,2})(?P=s)(?P<c>\d{1,4})")
+#: Words before a date of birth.
+_BIRTH_LABEL = (
+    r"born\s(?:on|in)?|date\sof\sbirth|birth\s?date|birthday(?:\sis)?|dob|nacid[oa]\sel|fecha\sde\snacimiento|née?\sle|date\sde\snaissance|"
+    r"geboren\sam|geburtsdatum|geboren\sop|geboortedatum|nascid[oa]\sem|data\sde\snascimento|生年月日は?"
+)
+_BIRTH = re.compile(rf"(?<!\w)(?:{_BIRTH_LABEL})\s?(?:is|es|est|ist|é)?\s?[:#]?\s?(?P<v>\d{{1,4}}[./-]\d{{1,2}}[./-]\d{{1,4}})(?!\d)", re.I)
+
 _FLAT = {0xA0: " ", 0x200B: " ", 0x200C: " ", 0x200D: " ", 0x2060: " ", 0xFEFF: " ", 0x3000: " ", 0x2019: "'"}
 
 _EMAIL = re.compile(
@@ -209,7 +270,7 @@ def needed(pattern: re.Pattern) -> set[str]:
 
 #: Literals without which the patterns of a type cannot match.
 _GATES = {
-    "name": needed(_NAME_AFTER) | needed(_JA_NAME), "street": needed(_STREET) | needed(_STREET_AFTER), "id": needed(_ID), "hello": needed(_GREETING),
+    "name": needed(_NAME_AFTER) | needed(_JA_NAME), "street": needed(_STREET) | needed(_STREET_AFTER), "id": needed(_ID), "hello": needed(_GREETING), "born": needed(_BIRTH),
 }
 #: Characters that patterns without case take for i, s and k, but whose lower case is another.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k", 0x1E9E: "ß"}
@@ -307,18 +368,26 @@ def _find(t: str, gated: bool = True) -> list[Hit]:
             add(m.start(), m.end(), "email")
     if "http" in low:
         taken += [m.span() for m in _URL.finditer(t)]
+    if "born" in gates:
+        for m in _BIRTH.finditer(t):
+            if read_date(m.group("v")):
+                add(m.start("v"), m.end("v"), "birth_date")
     if numbers:
         for m in _ID.finditer(t):
-            if sum(c.isdigit() for c in m.group("v")) >= 5:
+            if sum(c.isdigit() for c in m.group("v")) < 5:
+                continue
+            if plausible_number(m.group("v"), "id_number"):
                 add(m.start("v"), m.end("v"), "id_number")
+            else:
+                taken.append(m.span("v"))  # no number of a person, and nothing else either
         taken += [m.span() for m in _THING_NUMBER.finditer(t)]
-        for m in _ID_SHAPE.finditer(t):
+        for m in filter(lambda m: plausible_number(m.group(), "id_number"), _ID_SHAPE.finditer(t)):
             add(m.start(), m.end(), "id_number")
         for m in _PHONE_AFTER.finditer(t):
-            if 7 <= sum(c.isdigit() for c in m.group("v")) <= 15:
+            if plausible_number(m.group("v"), "phone"):
                 add(m.start("v"), m.end("v"), "phone")
         for m in _PHONE.finditer(t):
-            if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            if sum(c.isdigit() for c in m.group()) >= 8 and plausible_number(m.group(), "phone"):
                 add(m.start(), m.end(), "phone")
     if "street" in gates and _DIGIT.search(t):
         for m in _STREET.finditer(t):
@@ -347,7 +416,7 @@ def _find(t: str, gated: bool = True) -> list[Hit]:
     return sorted(hits, key=lambda h: h.start)
 
 
-def redact(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[str]]:
+def redact(text: str, key: bytes) -> tuple[str, list[str]]:
     """The text with placeholders, and the types found."""
     hits = find(text)
     if not hits:
@@ -355,19 +424,24 @@ def redact(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, list[str]]:
     out, at = [], 0
     for h in hits:
         value = text[h.start : h.end]
-        inner = pseudonym(value, h.kind, key) if h.kind in ("phone", "id_number") else token(value, key)
+        if h.kind == "birth_date":
+            inner = date_pseudonym(value, key)
+        else:
+            inner = pseudonym(value, h.kind, key) if h.kind in ("phone", "id_number") else token(value, key)
         out += [text[at : h.start], f"<{h.kind}:{inner}>"]
         at = h.end
     return "".join(out) + text[at:], sorted({h.kind for h in hits})
 
 
-def redact_rows(rows: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def redact_rows(rows: DataFrame, key: bytes) -> DataFrame:
     """``key, redacted, types`` of ``rows (key, text)``, one row per input row.
 
     * Null texts stay null, with no types; blank texts stay as they are.
-    * The same value gives the same pseudonym in every row and run with one key.
+    * The same value gives the same pseudonym in every row and run with one ``key`` (16 to 64 bytes).
     * An empty table gives an empty result; further columns are ignored.
     """
+    if not 16 <= len(key) <= 64:
+        raise ValueError("the key must have 16 to 64 bytes")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -378,6 +452,7 @@ def redact_rows(rows: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return rows.select("key", "text").mapInPandas(work, f"key {kind}, redacted string, types array<string>")
 
 
-def types_found(rows: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """Distinct ``key, pii_type``."""
-    return redact_rows(rows, key).select("key", F.explode("types").alias("pii_type")).filter(F.col("key").isNotNull()).distinct()
+def types_found(rows: DataFrame, key: bytes) -> DataFrame:
+    """Distinct ``key, pii_type`` of what was replaced (dates of birth left out)."""
+    found = redact_rows(rows.filter(F.col("key").isNotNull()), key).select("key", F.explode("types").alias("pii_type"))
+    return found.filter(F.col("pii_type").isin(*TYPES)).distinct()

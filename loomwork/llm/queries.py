@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.formatting_duplicates import collapse, formatting_groups
+from loomwork.llm.formatting_duplicates import collapse, formatting_pairs
 from loomwork.llm.language import doubtful_languages, identify
 from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_classes
 from loomwork.llm.leakage import leaked_passages
 from loomwork.llm.truncation import truncated, truncation_by_source
 from loomwork.llm.personal_data import redact_rows, types_found
-from loomwork.llm.conversations import rebuild_conversations
+from loomwork.llm.conversations import clock_evidence, message_facts, rebuild_conversations, reply_constraints
 from loomwork.llm.packing import fill_report, pack, token_sizes
 from loomwork.session import written
 from loomwork.sources.tables import id_number, id_text, table
@@ -19,8 +21,9 @@ from loomwork.sources.tables import id_number, id_text, table
 
 def _language_rows(spark: SparkSession, folder: str, how: str) -> DataFrame:
     twcs = table(spark, folder, "twcs").select(id_number("tweet_id").alias("key"), "text", F.col("author_id").alias("host"))
-    labels = table(spark, folder, "tweet_langs").select(id_number("tweet_id").alias("key"), F.col("lang").alias("label"))
-    return twcs.distinct().join(labels.distinct(), "key", how)
+    labels = table(spark, folder, "tweet_langs").select(id_number("tweet_id").alias("key"), F.col("lang").alias("label")).distinct()
+    # joined first: rows without a label need no comparison
+    return twcs.join(labels, "key", how).distinct()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,8 +49,8 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Smallest id of each group of messages that differ in writing only, with each other id."""
-    rows = formatting_groups(_messages(spark, folder)).filter(F.col("id") != F.col("first"))
-    return rows.select(id_text("first").alias("tweet_id_first"), id_text("id").alias("tweet_id_copy")).distinct()
+    rows = formatting_pairs(_messages(spark, folder))
+    return rows.select(id_text("first").alias("tweet_id_first"), id_text("id").alias("tweet_id_copy"))
 
 
 def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,35 +156,53 @@ def p10_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "twcs").select(id_number("tweet_id").alias("key"), "text").distinct()
+    return table(spark, folder, "twcs").select(id_number("tweet_id").alias("key"), "text")
+
+
+def _key(spark: SparkSession) -> bytes:
+    """The key of the pseudonyms: the setting spark.loomwork.pseudonym.key (hexadecimal), or else one drawn for this application."""
+    given = spark.conf.get("spark.loomwork.pseudonym.key", None)
+    if given is None:
+        given = secrets.token_hex(32)
+        spark.conf.set("spark.loomwork.pseudonym.key", given)
+    return bytes.fromhex(given)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Types of personal details in each message."""
-    return types_found(_personal(spark, folder)).select(id_text("key").alias("tweet_id"), "pii_type")
+    return types_found(_personal(spark, folder), _key(spark)).select(id_text("key").alias("tweet_id"), "pii_type")
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The messages that hold personal details, with pseudonymous placeholders."""
-    rows = redact_rows(_personal(spark, folder)).filter(F.size("types") > 0)
-    return rows.select(id_text("key").alias("tweet_id"), "redacted", F.array_join("types", ",").alias("types"))
+    rows = redact_rows(_personal(spark, folder).filter(F.col("key").isNotNull()), _key(spark)).filter(F.size("types") > 0)
+    return rows.select(id_text("key").alias("tweet_id"), "redacted", F.array_join("types", ",").alias("types")).distinct()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message of every kept conversation, in order; times as sent."""
+    """Every message of every kept conversation, in order of the corrected times.
+
+    TESTDATA.md drops no conversation for a reply that is older than its parent, so there is no tolerance."""
     rows = rebuild_conversations(table(spark, folder, "twcs"))
     return rows.select(id_text("root").alias("root_tweet_id"), "turn", id_text("id").alias("tweet_id"), "role")
 
 
 def p3_corrected(spark: SparkSession, folder: str) -> DataFrame:
-    """Kept conversations by length when sender clocks are corrected by up to a day."""
-    rows = rebuild_conversations(table(spark, folder, "twcs"), max_offset=86_400)
+    """Kept conversations by length if replies that stay before their parents by more than a minute reject theirs."""
+    rows = rebuild_conversations(table(spark, folder, "twcs"), tolerance=60)
     sizes = rows.groupBy("root").agg(
         F.count("*").alias("n_turns"), F.count(F.when(F.col("t") != F.col("time"), 1)).alias("n_moved")
     )
     return sizes.groupBy("n_turns").agg(F.count("*").alias("n_conversations"), F.sum("n_moved").alias("n_moved"))
 
 
+def p3_clocks(spark: SparkSession, folder: str) -> DataFrame:
+    """How many senders have how many reply constraints, and how many of these are broken."""
+    facts = written(message_facts(table(spark, folder, "twcs")), "facts")
+    per = clock_evidence(written(reply_constraints(facts), "constraints"))
+    return per.groupBy("n_replies", "n_replies_broken", "n_answered", "n_answered_broken").agg(F.count("*").alias("n_senders"))
+
+
 _ID_SQL = "try_cast(regexp_extract(coalesce({0},''), '^\\s*(\\d{{1,19}})(\\.0+)?\\s*$', 1) as bigint)"
 _TIME_SQL = (
     "case when regexp_matches(trim(coalesce(created_at,'')), '^(Mon|Tue|Wed|Thu|Fri|Sat|Sun) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \\d{2} \\d{2}:\\d{2}:\\d{2} [+-]\\d{4} \\d{4}$') "
@@ -204,6 +225,13 @@ select lpad(cast(m.root as varchar), 10, '0') root_tweet_id, cast(row_number() o
   lpad(cast(m.id as varchar), 10, '0') tweet_id, m.role
 from m join firsts f on m.root = f.root where not m.broken and f.b > f.a"""
 
+P3_CLOCKS_SQL = f"""with facts as (
+  select {_ID_SQL.format('tweet_id')} id, max({_ID_SQL.format('in_response_to_tweet_id')}) parent, min({_TIME_SQL}) t, max(author_id) sender from twcs group by 1 having id is not null),
+c as (select a.sender cs, b.sender ps, b.t - a.t gap from facts a join facts b on a.parent = b.id where a.sender <> b.sender and b.t - a.t <= 86400),
+e as (select cs sender, true r, gap > 0 b from c union all select ps, false, gap > 0 from c),
+s as (select sender, count(*) filter (where r) n_replies, count(*) filter (where r and b) n_replies_broken, count(*) filter (where not r) n_answered, count(*) filter (where not r and b) n_answered_broken from e group by 1)
+select n_replies, n_replies_broken, n_answered, n_answered_broken, count(*) n_senders from s group by all"""
+
 
 def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into the containers of every budget."""
@@ -232,6 +260,7 @@ QUERIES = {
     "p6_redacted": (p6_redacted, None),
     "p3_found": (p3_found, P3_SQL),
     "p3_corrected": (p3_corrected, None),
+    "p3_clocks": (p3_clocks, P3_CLOCKS_SQL),
     "p8_bins": (p8_bins, None),
     "p8_fill": (p8_fill, None),
 }

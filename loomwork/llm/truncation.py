@@ -26,6 +26,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,17 +44,19 @@ TERMINATOR_SHARE = 0.5
 #: A last word is a fragment if the longer words it begins are more than this many times as frequent.
 FRAGMENT_RATIO = 20
 
+FIELDS = ["blank", "broken", "quote", "bracket", "markup", "kind", "tail", "last", "dangling", "inside", "digest"]
 TERMINATORS = ".!?。！？．؟।"
 _CLOSERS = "\"'”’»)]}』」*_"
 _PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "li"}
 _SIGN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^<>]*)>|[()\[\]{}“”«»「」『』\"]")
 _BROKEN_TAG = re.compile(r"<(?:/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?|/|!-{0,2}[^<>]*)$")
-_BROKEN_REF = re.compile(r"&(?:#[xX]?[0-9A-Fa-f]{0,6}|[A-Za-z]{1,7})$")
+_BROKEN_NUMBER = re.compile(r"#(?:[0-9]{0,7}|[xX][0-9A-Fa-f]{0,6})")
+#: What a character reference can begin with; names that begin with a capital are left out (``AT&T``).
+_REF_STARTS = {n[:k] for n in name2codepoint if n[0].islower() for k in range(1, len(n) + 1)}
 _BROKEN_ESCAPE = re.compile(r"\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$")
 _MARK = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.{2,}|…|\[(?:cut|more|truncated|snip)\]|>>)\s*$", re.I)
-_CLOSING_TAGS = r"(?:\s*</[A-Za-z][A-Za-z0-9]*>)+\s*$"
-_LAST_WORD = re.compile(r"[\w'’]+$")
+_CLOSING_TAGS = re.compile(r"(?:\s*</[A-Za-z][A-Za-z0-9]*>)+\s*$")
 _BREAK = re.compile(rf"(?:[{TERMINATORS}…]+[{re.escape(_CLOSERS)}]*(?:\s+|$)|[。！？．]|\n)")
 _SPEAKER = re.compile(r"^\s*[A-Z][\w ]{0,20}:\s+")
 _LINK_END = re.compile(r"https?://[^\s/]+\.[^\s/]+/\S*$|www\.\S+\.\S+/\S*$", re.I)
@@ -95,54 +98,87 @@ def _scan(text: str) -> tuple[bool, bool, bool]:
     return straight or any(s in quotes for s in stack), any(s in ")]}" for s in stack), any(s[0] == "<" for s in stack)
 
 
+def _broken(body: str) -> str | None:
+    """What the text stops inside of: a character, a tag, a character reference, an escape."""
+    last = body[-1]
+    if last == "�" or "\ud800" <= last <= "\udfff" or unicodedata.category(last) == "Cn":
+        return "character"
+    at = body.rfind("<")
+    if at >= 0 and body.find(">", at) < 0 and _BROKEN_TAG.fullmatch(body, at):
+        return "markup"
+    at = body.rfind("&", -12)
+    if at >= 0 and (body[at + 1 :] in _REF_STARTS or _BROKEN_NUMBER.fullmatch(body, at + 1)):
+        return "reference"
+    at = body.rfind("\\", -6)
+    return "escape" if at >= 0 and _BROKEN_ESCAPE.fullmatch(body, at) else None
+
+
+def _last_word(text: str) -> str | None:
+    at = len(text)
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_'’"):
+        at -= 1
+    return text[at:].lower() or None
+
+
+def _last_piece(text: str) -> str:
+    """What follows the last end of a sentence or line that something follows; looks as far back as that is."""
+    width = 400
+    while True:
+        pieces = _BREAK.split(text[-width:])
+        piece = next((t for t in reversed(pieces[1:]) if t and t.strip()), None)
+        if piece is not None or width >= len(text):
+            return (piece if piece is not None else pieces[0] if pieces[0].strip() else text).strip()
+        width *= 4
+
+
 def ending(text: str) -> dict:
-    """What the automaton and the tail say about one text."""
+    """What the automaton and the tail say about one text; the whole text is read."""
     body = text.rstrip()
-    out = {"blank": not body, "broken": None, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "tail": None, "last": None, "dangling": False, "digest": None}
+    out = dict.fromkeys(FIELDS, None) | {"blank": not body, "quote": False, "bracket": False, "markup": False, "kind": "terminated", "dangling": False, "inside": False}
     if not body:
         return out
-    last = body[-1]
-    if last == "�" or "\ud800" <= last <= "\udfff" or unicodedata.category(last) == "Cn":
-        out["broken"] = "character"
-    elif _BROKEN_TAG.search(body[-300:]):
-        out["broken"] = "markup"
-    elif _BROKEN_REF.search(body[-12:]):
-        out["broken"] = "reference"
-    elif _BROKEN_ESCAPE.search(body[-8:]):
-        out["broken"] = "escape"
+    out["broken"] = _broken(body)
     out["quote"], out["bracket"], out["markup"] = _scan(body)
-    pure = re.sub(_CLOSING_TAGS, "", body)
-    tail = _BREAK.split(pure[-400:])
-    tail = next((t for t in reversed(tail) if t and t.strip()), pure[-60:]).strip()
-    line = _SPEAKER.sub("", pure[-400:].split("\n")[-1]).strip()
-    mark = _MARK.search(pure)
-    tail = _SPEAKER.sub("", tail)
+    pure = _CLOSING_TAGS.sub("", body) if body[-1] == ">" else body
+    end = pure[-1:] or " "
+    lines = pure.rsplit("\n", 2)
+    line = _SPEAKER.sub("", lines[-1]).strip()
+    token = (pure.rsplit(None, 1) or [""])[-1]
+    mark = _MARK.search(pure, max(0, len(pure.rstrip("\u2026. >])")) - 12))
+    tail = _SPEAKER.sub("", _last_piece(pure))
     if mark:
-        out["kind"] = "mark"
-        tail = line if len(line) < 40 else pure[-40:]
-    elif pure[-1] in TERMINATORS or (pure.rstrip(_CLOSERS)[-1:] or " ") in TERMINATORS:
-        out["kind"] = "terminated"
-    elif _LINK_END.search(pure[-300:]) or _REFERENCE.search(pure[-60:]) or _INITIALS.search(pure[-8:]) or _symbol(pure[-1]):
-        out["kind"] = "closing"
-    elif len(line) <= 40 and len(lines := pure[-400:].split("\n")) > 1 and _SIGN_LINE.match(lines[-2].strip()):
-        out["kind"] = "sign-off"
-    elif _SIGN_OFF.match(line) and len(line) <= 40 and "\n" in pure and line == tail:
-        out["kind"] = "sign-off"
+        kind = "mark"
+        tail = line if len(line) < 40 else tail
+    elif end in TERMINATORS or (pure.rstrip(_CLOSERS)[-1:] or " ") in TERMINATORS:
+        kind = "terminated"
+    elif _LINK_END.search(token) or _REFERENCE.search(" ".join(pure.rsplit(None, 6)[-6:])) or _INITIALS.search(pure[-8:]) or _symbol(end):
+        kind = "closing"
+    elif len(line) <= 40 and len(lines) > 1 and _SIGN_LINE.match(lines[-2].strip()):
+        kind = "sign-off"
+    elif _SIGN_OFF.match(line) and len(line) <= 40 and len(lines) > 1 and line == tail:
+        kind = "sign-off"
     else:
-        out["kind"] = "bare"
-    out["tail"] = re.sub(r"\d+", "9", tail)[-60:]
+        kind = "bare"
+    out["kind"] = kind
     same = re.sub(r"[\W_]+", "", re.sub(r"\d+", "9", body)).lower()
-    out["digest"] = hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=12).digest()
-    if out["kind"] in ("bare", "mark"):
-        stem = pure[: mark.start()] if mark else pure
-        word = _LAST_WORD.search(stem[-60:])
-        out["last"] = word.group().lower() if word else None
+    out["digest"] = _digest(same)
+    if kind in ("bare", "mark"):
+        stem = pure[: mark.start()].rstrip() if mark else pure
+        out["last"] = _last_word(stem)
         out["dangling"] = stem[-1:] in tuple(",;:([{")
-        if mark and not re.search(r"\w", _MARK.sub("", out["tail"])):
-            out["tail"] = None
+    if kind in ("bare", "mark", "sign-off") and not (mark and not re.search(r"\w", _MARK.sub("", tail))):
+        out["tail"] = _digest(re.sub(r"\d+", "9", tail))
+        # a capital begins a name in a signature, which seldom stands inside the texts
+        word = re.sub(r"\s*(?:…|\.{2,})$", "", tail)
+        at = len(word) - len(_last_word(word) or "")
+        out["inside"] = word[at : at + 1].islower()
     return out
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
 def _symbol(c: str) -> bool:
     """Emoji and the like."""
     return c != "�" and (unicodedata.category(c) in ("So", "Sk") or c in "\ufe0f\u200d\u2764")
@@ -153,21 +189,21 @@ def endings(documents: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=["blank", "broken", "quote", "bracket", "markup", "kind", "tail", "last", "dangling", "digest"])
+            seen = pd.DataFrame([ending(t) for t in pdf.pop("text")], columns=FIELDS)
             yield pd.concat([pdf.reset_index(drop=True), seen], axis=1)
 
     src = documents.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), "text").filter(F.col("text").isNotNull())
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInPandas(
         read,
-        f"doc_id {kind}, source string, blank boolean, broken string, quote boolean, bracket boolean, markup boolean, kind string, tail string, "
-        "last string, dangling boolean, digest binary",
+        f"doc_id {kind}, source string, blank boolean, broken string, quote boolean, bracket boolean, markup boolean, kind string, tail binary, "
+        "last string, dangling boolean, inside boolean, digest binary",
     )
 
 
 def fragments(documents: DataFrame, seen: DataFrame) -> DataFrame:
     """``last``: the last words of ``seen`` that inside the texts are mostly the beginning of longer words."""
-    body = F.regexp_replace(F.regexp_replace("text", _CLOSING_TAGS, ""), "(?i)" + _MARK.pattern, "")
+    body = F.regexp_replace(F.regexp_replace("text", _CLOSING_TAGS.pattern, ""), "(?i)" + _MARK.pattern, "")
     found = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_'’]+"), 0)
     inner = documents.filter(F.col("text").isNotNull()).select(found.alias("w")).filter(F.size("w") > 1)
     vocabulary = written(
@@ -202,8 +238,7 @@ def truncated(
     seen = written(lookup_join(seen, broken_words, "last", "n_last", "left").withColumn("shows", shown).drop("n_last"), "seen")
     n = seen.filter(~F.col("blank")).select("digest").distinct().count()
     least = max(3, int(closing_share * n))
-    # a capital begins a name in a signature, which seldom stands inside the texts
-    inside = F.coalesce("fragment", F.lit(False)) & F.col("tail").rlike(r"(?:^|[^\p{L}\p{N}_'’])\p{Ll}[\p{L}\p{N}_'’]*(?:\s*(?:…|\.{2,}))?$")
+    inside = F.coalesce("fragment", F.lit(False)) & F.col("inside")
     # at most 1 / closing_share tails can end that many texts: a bounded side
     closings = (
         seen.filter(F.col("kind").isin("bare", "mark", "sign-off") & F.col("broken").isNull() & F.col("tail").isNotNull() & ~inside)
@@ -237,11 +272,11 @@ def truncated(
         F.when(F.col("blank"), None)
         .when(F.col("broken").isNotNull(), F.concat(F.lit("broken "), "broken"))
         .when(usual, None)
-        .when(F.col("kind") == "mark", "cut mark")
-        .when((F.col("kind") == "bare") & F.col("rule"), "no terminator")
         .when(F.col("markup") & (F.col("p_markup") <= habit_share), "open markup")
         .when(F.col("quote") & (F.col("p_quote") <= habit_share), "open quote")
         .when(F.col("bracket") & (F.col("p_bracket") <= habit_share), "open bracket")
+        .when(F.col("kind") == "mark", "cut mark")
+        .when((F.col("kind") == "bare") & F.col("rule"), "no terminator")
     )
     out = rows.withColumn("reason", reason)
     return out.select("doc_id", "source", F.col("reason").isNotNull().alias("cut"), "reason")

@@ -30,6 +30,9 @@ def test_languages(spark):
     got = {r.key: r for r in out.filter("key > 9000").collect()}
     assert [p.lang for p in got[9001].passages] == ["en", "es"] and got[9002].lang == "de" and got[9003].lang == "es"
     assert got[9004].lang == "en" and got[9005].lang is None and got[9006].lang is None and 0 < got[9003].confidence <= 1
+    it = "il telefono non si accende più e sono molto arrabbiato perché nessuno mi risponde da ieri sera"
+    alien = spark.createDataFrame(rows + [(9100, it, None, "h0")], "key bigint, text string, label string, host string")
+    assert L.identify(alien).filter("key = 9100").first().lang == L.OTHER
     found = {(r.key, r.lang) for r in L.doubtful_languages(out).filter("key > 9000").collect()}
     assert found == {(9001, "en"), (9001, "es"), (9002, "de"), (9003, "es")}
     assert L.doubtful_languages(out).filter("key < 9000").count() == 0
@@ -57,10 +60,39 @@ def test_conversations(spark):
     assert got == [(1, 1, 1, "customer"), (1, 2, 4, "customer"), (1, 3, 2, "brand"), (1, 4, 3, "customer"), (50, 1, 50, "customer"), (50, 2, 51, "brand")]
 
 
+GAPS = "id int, child_sender string, parent_sender string, gap int"
+
+
 def test_clock_offsets(spark):
-    late = [(i, "slow", "ok", 600) for i in range(40)] + [(99, "ok", "x", -50)]
-    off = {r.sender: r.offset for r in C.clock_offsets(spark.createDataFrame(late, "id int, child_sender string, parent_sender string, gap int"), sweeps=8).collect()}
-    assert 450 < off["slow"] - off["ok"] <= 600 and "x" not in off
+    import random
+
+    rnd = random.Random(1)
+    planted = {"slow": -600, "fast": 3000, "ok": 0, "fine": 0, "z": 0}
+    rows = []
+    for i in range(3000):
+        c, p = rnd.sample(list(planted), 2)
+        rows.append((i, c, p, -rnd.randint(5, 60) - planted[c] + planted[p]))
+    rows += [(9000 + i, "ok", "fine", rnd.randint(1, 80_000)) for i in range(40)]  # stray times, no clock
+    off = {r.sender: r.offset for r in C.clock_offsets(spark.createDataFrame(rows, GAPS)).collect()}
+    assert set(off) == {"slow", "fast"} and abs(off["slow"] - 600) < 60 and abs(off["fast"] + 3000) < 60
+    # z answers a sender whose clock is moved: its constraints hold before and are counted after
+    chain = [(i, "slow", "ok", 600) for i in range(40)] + [(100 + i, "z", "slow", -10) for i in range(20)] + [(200 + i, "x", "ok", -30) for i in range(60)]
+    off = {r.sender: r.offset for r in C.clock_offsets(spark.createDataFrame(chain, GAPS)).collect()}
+    assert set(off) == {"slow"} and 395 < off["slow"] < 605
+    assert C.clock_offsets(spark.createDataFrame(chain[:5], GAPS)).count() == 0 and C.clock_offsets(spark.createDataFrame([], GAPS)).count() == 0
+
+
+def test_corrected_times_decide_the_order(spark):
+    rows = []
+    for i in range(20):
+        a, b = 1000 + 10 * i, 1001 + 10 * i
+        rows += [msg(a, None, str(70 + i), 20), msg(b, str(a), "Slow", 11)]  # the brand answers a minute later, its clock is ten minutes slow
+    rows += [msg(5000, None, "8", 5), msg(5001, "5000", "Other", 4), msg(6000, None, "8", 5), msg(6001, "6000", "Other", 9)]
+    df = spark.createDataFrame(rows, RAW)
+    got = C.rebuild_conversations(df).cache()
+    assert got.filter("root < 5000 and turn = 1 and role = 'customer'").count() == 20 and got.filter("root < 5000 and time > t").count() == 20
+    assert [r.id for r in C.rebuild_conversations(df, tolerance=30).filter("root >= 5000").orderBy("id").collect()] == [6000, 6001]
+    assert got.filter("root = 5000").count() == 0  # by the times as sent the answer came first
 
 
 def test_cross_split_against_all_pairs(spark):
@@ -75,8 +107,21 @@ def test_cross_split_against_all_pairs(spark):
     ws = lambda t: set() if t is None or t.startswith("@") else set(t.lower().replace(",", "").split())
     want = {(i, j) for i, x in ev for j, y in train if ws(x) and 2 * len(ws(x) & ws(y)) >= 0.8 * (len(ws(x)) + len(ws(y))) - 1e-9}
     assert got == want and len(want) > 250
-    idf = S.cosine_pairs(S.word_classes(a)[1], S.word_classes(b)[1], 0.6, "idf")
-    assert idf.filter("cosine > 1.000001").count() == 0 and idf.count() > 50
+    import math
+
+    for scheme in ("idf", "unit"):
+        lc, rc = S.word_classes(a)[1], S.word_classes(b)[1]
+        idf = {(r.l_cls, r.r_cls): r.cosine for r in S.cosine_pairs(lc, rc, 0.6, scheme).collect()}
+        ls, rs = lc.collect(), rc.collect()
+        df = defaultdict(int)
+        for r in [*ls, *rs]:
+            for w in r.terms:
+                df[w] += 1
+        weight = {w: math.log(1 + (len(ls) + len(rs)) / n) if scheme == "idf" else 1.0 for w, n in df.items()}
+        norm = lambda t: math.sqrt(sum(weight[w] ** 2 for w in t))  # noqa: B023, E731
+        cos = {(x.cls, y.cls): sum(weight[w] ** 2 for w in set(x.terms) & set(y.terms)) / (norm(x.terms) * norm(y.terms)) for x in ls for y in rs}
+        exact = {k: v for k, v in cos.items() if v >= 0.6 - 1e-9}
+        assert set(idf) == set(exact) and len(exact) > 50 and all(abs(idf[k] - v) < 1e-9 for k, v in exact.items())
     assert S.cross_split_overlaps(a.filter("id < 0"), b).count() == 0
 
 
@@ -93,7 +138,18 @@ def test_formatting_duplicates_against_grouping(spark):
     for size in ({"step": 4, "bucket_bytes": 3000, "task_bytes": 5000}, {}):
         assert {(r.first, r.id) for r in D.formatting_groups(df, **size).collect()} == pairs
     assert D.formatting_groups(df.filter("id < 0")).count() == 0
-    assert D.collapse(df).agg(F.sum("copies")).first()[0] == len({i for v in want.values() for i in v})
+    assert sorted(r.copies for r in D.collapse(df).collect()) == sorted(len(v) for v in want.values())
+    assert {(r.first, r.id, r.copies) for r in D.formatting_groups(df).collect()} == {(min(v), x, len(v)) for v in want.values() if len(v) > 1 for x in v}
+    assert {(r.first, r.id) for r in D.formatting_pairs(df).collect()} == {p for p in pairs if p[0] != p[1]}
+
+
+def test_copies_are_distinct_ids(spark):
+    rows = [(1, "alpha"), (2, "Alpha!"), (1, "beta"), (3, "BETA"), (5, "once"), (5, "once")]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(6)
+    assert sorted((r.first, r.copies) for r in D.collapse(df).collect()) == [(1, 2), (1, 2), (5, 1)]
+    assert sorted((r.first, r.id, r.copies) for r in D.formatting_groups(df).collect()) == [(1, 1, 2), (1, 1, 2), (1, 2, 2), (1, 3, 2)]
+    long = "a very long name of a field that goes on and on: x; ref: 1"
+    assert D.canonical(long) == D.canonical("REF: 1; a very long name of a field that goes on and on: X")
 
 
 @given(st.lists(st.binary(max_size=12), max_size=300))
@@ -131,13 +187,35 @@ def test_personal_details(spark):
                   "signed, a loyal user", "I live for this phone", "street view is broken", "since 10.13.2 at 7:41pm ^AB", "@Brand hello", "paid 944.68 at your 5th floor shop", ""):
         assert kinds(clean) == [], clean
     text = "My number is 020 7946 0536, again 020 7946 0536. Thanks"
-    out, types = N.redact(text)
+    out, types = N.redact(text, KEY)
     assert types == ["phone"] and "0536" not in out.replace("7946 0536", "") and out.endswith(". Thanks") and out.count(out.split("<phone:")[1].split(">")[0]) == 2
     df = spark.createDataFrame([(1, text), (2, None), (3, " ")], "key int, text string")
-    got = {r.key: (r.redacted, r.types) for r in N.redact_rows(df).collect()}
+    got = {r.key: (r.redacted, r.types) for r in N.redact_rows(df, KEY).collect()}
     assert got[2] == (None, []) and got[3] == (" ", []) and got[1][1] == ["phone"]
 
 
+KEY = b"0123456789abcdef"
+
+
+def test_numbers_are_validated_and_formats_kept():
+    assert kinds("my SSN is 000-00-0000") == [] and kinds("SSN 666-12-3456") == [] and kinds("call me on 000 000 0000") == []
+    new = N.pseudonym("+44 7700 900821", "phone", KEY)
+    assert new.startswith("+44 ") and new != "+44 7700 900821" and len(new) == 15 and N.pseudonym("+447700900821", "phone", KEY)[:3] == "+44"
+    for value in ("31.12.1985", "1985-03-12", "12/31/1985", "1/2/1999"):
+        new = N.date_pseudonym(value, KEY)
+        assert N.read_date(new) and new != value and len(new) == len(value) or value == "1/2/1999" and N.read_date(new)
+    assert N.read_date("31.02.1985") is None and N.read_date("13/13/1985") is None
+    out, types = N.redact("I was born on 31.12.1985, really 31.12.1985", KEY)
+    assert types == ["birth_date"] and out.endswith("really 31.12.1985")
+    assert len({N.date_pseudonym(f"1985-03-{d:02d}", KEY) for d in range(1, 32)}) == 31
+    assert len(N.token("Ana", KEY)) == 32 and N.token("Ana", KEY) == N.token(" ana ", KEY) != N.token("Ana", b"another key here")
+    try:
+        N.redact_rows(None, b"short")
+        raise AssertionError("a short key must be refused")
+    except ValueError:
+        pass
+
+
 def test_packing_keeps_every_token(spark):
     sizes = [(i, (i * 37) % 300) for i in range(500)] + [(900, 1000), (901, 100), (902, 200)]
     df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
@@ -152,6 +230,10 @@ def test_packing_keeps_every_token(spark):
             assert all(r.t <= cap and r.c <= 9 and (r.a <= 0.8 * cap * cap + 1e-6 or r.c == 1) for r in per)
             whole = rows.join(df.filter(F.col("n_tokens") <= cap).select("doc_id"), "doc_id").groupBy("doc_id").count().filter("count > 1").count()
             assert whole == 0
+    bins = {a: P.pack(df, budgets, max_docs=9, attention=a).filter("budget_id = 1").select("bin_id").distinct().count() for a in (1.0, 0.5)}
+    assert bins[0.5] > bins[1.0]  # the attention cost binds
+    full = P.fill_report(P.pack(df, budgets), budgets).collect()
+    assert all(r.n_bins >= r.least_bins and r.n_bins <= 1.05 * r.least_bins + 2 for r in full)
     assert P.pack(df.filter("doc_id < 0"), budgets).count() == 0 and P.pack(df, budgets.filter("budget_id = 3")).count() == 0
 
 
@@ -189,6 +271,18 @@ def test_truncation(spark):
     assert by["s1"] == 7 and by["s2"] == 0 and by[""] == 0
 
 
+def test_whole_text_is_read():
+    assert T.ending("Good. See <a href=\"https://a.example/" + "x" * 5000)["broken"] == "markup"
+    for text in ("made by AT&T", "the R&D", "Q&A", "a < b and"):
+        assert T.ending(text)["broken"] is None, text
+    for text in ("see &amp", "see &#82", "tu&quo", "then\\u00e"):
+        assert T.ending(text)["broken"], text
+    long = "word " * 3000
+    a, b = T.ending("One. " + long + "end"), T.ending("Two. " + long + "end")
+    assert a["tail"] == b["tail"] != T.ending("One. " + "other " + long + "end")["tail"]
+    assert T.ending("x" * 200_000 + "!?(")["last"] is None
+
+
 def test_truncation_of_most_texts_of_a_source(spark):
     import random
 
