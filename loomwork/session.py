@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(hadoop).delete(target, True)
 
 
+def shipped(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of ``value`` as bytes that carry the classes of this package along, so that workers need no copy
+    of it; read with ``pickle.loads(b.value)``.  Meant for values of a stated bound."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def empty_like(df: DataFrame) -> DataFrame:
     """No rows, same schema."""
     return df.filter(F.lit(False))
