@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.skew import lookup_join
-from loomwork.session import written
+from loomwork.session import shipped, written
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "nl", "ja")
 #: The language of texts that are in none of these.
@@ -327,7 +328,7 @@ def identify(rows: DataFrame, params: Params | None = None) -> DataFrame:
     joined = lookup_join(base, written(hosts, "lang-hosts"), "host", "n", "left").drop("n")
     suffix_rows = written(suffixes.withColumnRenamed("prior", "suffix_prior"), "lang-suffixes")
     joined = lookup_join(joined, suffix_rows, "suffix", "n", "left").drop("n")
-    sent = base.sparkSession.sparkContext.broadcast(model)
+    sent = shipped(base.sparkSession, model)
     schema = (
         "key " + base.schema["key"].dataType.simpleString() + ", declared string, lang string, confidence double, "
         "passages array<struct<lang:string,confidence:double,first_word:int,n_words:int>>"
@@ -337,7 +338,7 @@ def identify(rows: DataFrame, params: Params | None = None) -> DataFrame:
     glob = np.array(overall)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer(pickle.loads(sent.value))
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             prior = np.array([glob if p is None else p for p in pdf["prior"]], dtype=float).reshape(-1, len(LANGUAGES))

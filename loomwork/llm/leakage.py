@@ -21,6 +21,7 @@ document at a time, the hits of one document on all items of a block as arrays.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.text import words
 from loomwork.operators.skew import lookup_join
-from loomwork.session import written
+from loomwork.session import shipped, written
 
 WORDS_IN_A_ROW = 12
 #: Words of the items that one block of proximity queries holds; more items are more blocks.
@@ -195,7 +196,7 @@ def _near_passages(documents: DataFrame, texts: DataFrame, n: int, slack: int) -
     found = None
     for b in range(n_blocks):
         rows = texts.filter(F.pmod(F.xxhash64("item", "version"), F.lit(n_blocks)) == b).select("item", "w").collect()  # about BLOCK_WORDS words
-        held = documents.sparkSession.sparkContext.broadcast(ItemLists([r["item"] for r in rows], [list(r["w"]) for r in rows]))
+        held = shipped(documents.sparkSession, ItemLists([r["item"] for r in rows], [list(r["w"]) for r in rows]))
         part = docs.mapInPandas(_near(held, n, slack), schema)
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item").agg(F.max("n_matched").alias("n_matched"), F.max("longest_run").alias("longest_run"))
@@ -203,7 +204,7 @@ def _near_passages(documents: DataFrame, texts: DataFrame, n: int, slack: int) -
 
 def _near(held, n: int, slack: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = held.value
+        lists = pickle.loads(held.value)
         for pdf in batches:
             got = []
             for doc_id, w in zip(pdf["doc_id"], pdf["w"], strict=True):
