@@ -118,15 +118,16 @@ def token(value: str, key: bytes) -> str:
     return hashlib.blake2b(re.sub(r"\s+", " ", value).strip().casefold().encode(), key=key, digest_size=16).hexdigest()
 
 
-def plausible_number(value: str, kind: str) -> bool:
-    """Whether a number can be one of its kind: it is not one digit repeated; no group of a number in the shape of a
-    social security number is zero, nor its first one 666; a phone number has 7 to 15 digits and no country code 0."""
+def plausible_number(value: str, kind: str, labelled: bool = False) -> bool:
+    """Whether a number can be one of its kind: it is not one digit repeated; a phone number has 7 to 15 digits and no
+    country code 0.  A number that only its shape makes a social security number (``labelled`` false) has no group of
+    zeros and does not begin with 666."""
     digits = re.sub(r"\D", "", value)
     if len(set(digits)) < 2:
         return False
     if kind == "phone":
         return 7 <= len(digits) <= 15 and not value.lstrip("( ").startswith("+0")
-    groups = _SSN.fullmatch(value.strip())
+    groups = None if labelled else _SSN.fullmatch(value.strip())
     return not groups or (all(int(g) for g in groups.groups()) and groups[1] != "666")
 
 
@@ -376,7 +377,7 @@ def _find(t: str, gated: bool = True) -> list[Hit]:
         for m in _ID.finditer(t):
             if sum(c.isdigit() for c in m.group("v")) < 5:
                 continue
-            if plausible_number(m.group("v"), "id_number"):
+            if plausible_number(m.group("v"), "id_number", labelled=True):
                 add(m.start("v"), m.end("v"), "id_number")
             else:
                 taken.append(m.span("v"))  # no number of a person, and nothing else either
