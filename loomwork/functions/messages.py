@@ -74,3 +74,14 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 
 def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def bar(share: Column, width: int = 20) -> Column:
+    """A bar of ``width`` signs, filled by a share of 0 to 1."""
+    full = F.round(clamp(share) * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(width) - full))
+
+
+def numbered(prefix: str, n: Column, digits: int = 3) -> Column:
+    """Ids such as ``BM_007``."""
+    return F.format_string(f"{prefix}%0{digits}d", n)

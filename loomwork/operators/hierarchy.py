@@ -51,8 +51,11 @@ def resolve_hierarchy(
         .join(base.select(F.col("id").alias("parent")), "parent", "left_semi")
         .withColumn("parent_present", F.lit(True))
     )
-    joined = lookup_join(base, written(children, "parents"), "parent", "n", "left")
+    children = written(children, "parents")
+    joined = lookup_join(base, children, "parent", "n", "left")
     linked = written(joined.select("id", "parent", F.coalesce("parent_present", F.lit(False)).alias("parent_present")), "links")
+    discard(base)
+    discard(children)
 
     roots = linked.filter(~F.col("parent_present")).select(
         "id", "parent", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit(0).alias("on_cycle")

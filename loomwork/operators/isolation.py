@@ -45,6 +45,49 @@ def stratified_sample(df: DataFrame, id_col: str, slices: dict[str, tuple[Column
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).filter(F.col("rn") <= F.col("quota")).select("slice", "id")
 
 
+def audit_slices(labels: list[str], sizes: dict[str, int] | None = None) -> dict[str, tuple[Column, int]]:
+    """The slices of an audit sample of labelled messages: each label, confidence and source, overlapping rules, labels at
+    risk, and edge cases of the text.  Columns: ``candidate_intent, label_confidence, label_source, text, match_text, match_count``."""
+    n = {"intent": 50, "confidence": 100, "source": 100, "overlap": 150, "risk": 100, "edge": 50} | (sizes or {})
+    text, words = F.coalesce("text", F.lit("")), F.filter(F.split(F.coalesce("match_text", F.lit("")), r"\s+"), lambda w: w != "")
+    out = {f"intent_{x}": (F.col("candidate_intent") == x, n["intent"]) for x in labels}
+    out |= {f"confidence_{x}": (F.col("label_confidence") == x, n["confidence"]) for x in ("high", "medium", "low")}
+    out |= {f"source_{x}": (F.col("label_source") == x, n["source"]) for x in ("rule", "fallback", "needs_review")}
+    out["stratum_rule_overlap"] = (F.col("match_count") > 1, n["overlap"])
+    out |= {f"high_risk_{x}": (F.col("candidate_intent") == x, n["risk"]) for x in ("software_update", "unknown_other", "needs_review")}
+    return out | {
+        "edge_case_short_message": (F.size(words) <= 5, n["edge"]), "edge_case_has_url": (text.rlike("https?://"), n["edge"]),
+        "edge_case_has_mention": (text.rlike(r"@[A-Za-z0-9_]"), n["edge"]), "edge_case_has_emoji_or_special": (text.rlike(r"[^\x00-\x7F]"), n["edge"]),
+    }
+
+
+def sample_union(drawn: DataFrame) -> DataFrame:
+    """``id, slices``: the rows of several slices as one sample, with the names of the slices that drew them."""
+    return drawn.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("slice")), "|").alias("slices"))
+
+
+def sample_sizes(drawn: DataFrame, slices: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``slice, requested, actual`` for every slice, also for those that drew nothing."""
+    asked = drawn.sparkSession.createDataFrame([(n, q) for n, (_, q) in slices.items()], "slice string, requested int")
+    got = drawn.groupBy("slice").agg(F.count("*").cast("int").alias("actual"))
+    return asked.join(got, "slice", "left").select("slice", "requested", F.coalesce("actual", F.lit(0)).alias("actual"))
+
+
+def review_view(rows: DataFrame, aliases: dict[str, str], blank: list[str]) -> DataFrame:
+    """``rows`` with further names for some columns and empty columns for the reviewers to fill in."""
+    return rows.select("*", *[F.col(c).alias(a) for a, c in aliases.items()], *[F.lit("").alias(c) for c in blank])
+
+
+def check_requests(requests: DataFrame, longest: int = 1000, most: int = 10, modes: tuple[str, ...] = ("auto", "offline", "live")) -> DataFrame:
+    """``requests (message, top_k, mode)`` with ``error``: null, or the first rule that a request breaks."""
+    n = F.length("message")
+    error = (
+        F.when(F.col("message").isNull() | (n < 1), "message is missing").when(n > longest, "message is too long").when(~F.col("message").rlike(r"\S"), "message is blank")
+        .when(F.col("top_k").isNull() | (F.col("top_k") < 1) | (F.col("top_k") > most), "top_k is out of range").when(~F.coalesce(F.col("mode").isin(*modes), F.lit(False)), "mode is unknown")
+    )
+    return requests.withColumn("error", error)
+
+
 def cohorts(df: DataFrame, id_col: str, ordered: list[tuple[str, Column, int]], seed: str) -> DataFrame:
     """``cohort, id``: quotas filled in order, each from all rows that no earlier cohort took.
 

@@ -87,3 +87,29 @@ def compare_models(base: DataFrame, other: DataFrame) -> DataFrame:
     return a.join(b, "label", "full").select(
         "label", F.coalesce("base_f1", z).alias("base_f1"), F.coalesce("other_f1", z).alias("other_f1"), (F.coalesce("other_f1", z) - F.coalesce("base_f1", z)).alias("delta")
     )
+
+
+def _of(dimension: str):
+    return lambda issue: issue["dimension"] == dimension
+
+
+def verdict_rates(df: DataFrame, verdict: str, overall: str, dimensions: list[str], issues: str, scores: str = "scores") -> DataFrame:
+    """One row: rows, share of each verdict, mean scores and shares of rows with an issue.
+
+    ``scores`` is a map of dimension to score (a missing one counts 0), ``issues`` an array of structs with a ``dimension``."""
+    share = lambda c: F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 4)
+    return df.agg(
+        F.count("*").alias("n"), *[share(F.col(verdict) == v).alias("rate_" + v.lower()) for v in ("PASS", "NEEDS_HUMAN_REVIEW", "FAIL")], F.round(F.avg(overall), 4).alias("mean_overall"),
+        *[F.round(F.avg(F.coalesce(F.try_element_at(scores, F.lit(x)), F.lit(0.0))), 4).alias("mean_" + x) for x in dimensions],
+        *[share(F.exists(issues, _of(x))).alias("issue_" + x) for x in dimensions],
+    )
+
+
+def latency(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``component, mean_ms, std_ms, min_ms, p50_ms, p95_ms, max_ms`` of each column, two digits, exact percentiles; one pass."""
+    two = lambda c: F.round(c, 2)
+    one = lambda c: F.struct(
+        F.lit(c).alias("component"), two(F.avg(c)).alias("mean_ms"), two(F.stddev_pop(c)).alias("std_ms"), two(F.min(c)).alias("min_ms"),
+        two(F.percentile(c, F.lit(0.5))).alias("p50_ms"), two(F.percentile(c, F.lit(0.95))).alias("p95_ms"), two(F.max(c)).alias("max_ms"),
+    )
+    return df.agg(F.array(*[one(c) for c in columns]).alias("x")).select(F.explode("x").alias("x")).select("x.*")

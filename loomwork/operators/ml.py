@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import log
 
+import numpy as np
+import pandas as pd
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.metrics import class_weights
@@ -78,9 +82,13 @@ def bounded(df: DataFrame, id_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows)
 
 
-def fit_classifier(train: DataFrame, label: str, kind: str = "logistic", iterations: int = 100) -> tuple[PipelineModel, StringIndexerModel]:
-    """A balanced classifier on ``features``; ``kind`` is ``logistic`` or ``svm``."""
-    weighted = train.join(F.broadcast(class_weights(train, label)), label)
+def fit_classifier(
+    train: DataFrame, label: str, kind: str = "logistic", iterations: int = 100, weights: DataFrame | None = None
+) -> tuple[PipelineModel, StringIndexerModel]:
+    """A balanced classifier on ``features``; ``kind`` is ``logistic`` or ``svm``.  ``weights`` (label, weight) are
+    those of all rows where ``train`` is a part of them; one row a label."""
+    known = class_weights(train, label) if weights is None else weights
+    weighted = train.join(F.broadcast(known.select(label, "weight")), label)
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(weighted)
     # the solver passes over the rows once an iteration: features are made once
     rows = written(index.transform(weighted).select("features", "__y", "weight"), "training")
@@ -99,15 +107,53 @@ def _reloaded(model, rows: DataFrame):
     return type(model).load(path)
 
 
-def predict(model, index: StringIndexerModel, df: DataFrame) -> DataFrame:
-    """``df`` with ``prediction_label`` and, for a probabilistic model, ``confidence`` and ``margin`` (4 digits)."""
+def softmax(scores: Column) -> Column:
+    """Shares of an array of scores, shifted by the largest."""
+    top = F.array_max(scores)
+    powers = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def ranked_labels(shares: Column, labels: list[str], n: int = 3) -> Column:
+    """``array<struct<confidence, label>>`` of the ``n`` largest shares, four digits, ties by label in reverse order."""
+    pairs = F.arrays_zip(shares.alias("confidence"), F.array(*[F.lit(x) for x in labels]).alias("label"))
+    return F.transform(F.slice(F.sort_array(pairs, asc=False), 1, n), lambda x: F.struct(F.round(x["confidence"], 4).alias("confidence"), x["label"].alias("label")))
+
+
+def predict(model, index: StringIndexerModel, df: DataFrame, text: str | None = None, fallback: str = "unknown_other") -> DataFrame:
+    """``df`` with ``prediction_label``, ``confidence``, ``margin`` (share of the best label less that of the second, four
+    digits) and ``top`` (the best three).  A model without probabilities gives the softmax of its scores.
+
+    Rows whose ``text`` (if given) is null or blank get the fallback with confidence and margin 0 and no top."""
     out = model.transform(df)
-    labels = F.array(*[F.lit(x) for x in index.labels])
-    out = out.withColumn("prediction_label", F.get(labels, F.col("prediction").cast("int")))
-    if "probability" in out.columns:
-        p = F.sort_array(vector_to_array("probability"), asc=False)
-        out = out.withColumn("confidence", F.round(p[0], 4)).withColumn("margin", F.round(p[0] - F.coalesce(F.get(p, F.lit(1)), F.lit(0.0)), 4))
-    return out.drop("prediction", "probability", "rawPrediction")
+    labels = list(index.labels)
+    shares = vector_to_array("probability") if "probability" in out.columns else softmax(vector_to_array("rawPrediction"))
+    out = out.withColumn("__p", shares).withColumn("__s", F.sort_array("__p", asc=False))
+    blank = F.lit(False) if text is None else F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    first, second = F.get("__s", F.lit(0)), F.coalesce(F.get("__s", F.lit(1)), F.lit(0.0))
+    named = F.get(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int"))
+    out = out.withColumns({
+        "prediction_label": F.when(blank, fallback).otherwise(named), "confidence": F.when(blank, 0.0).otherwise(F.round(first, 4)),
+        "margin": F.when(blank, 0.0).otherwise(F.round(first - second, 4)), "top": F.when(~blank, ranked_labels(F.col("__p"), labels)),
+    })
+    return out.drop("prediction", "probability", "rawPrediction", "__p", "__s")
+
+
+def ambiguous_cases(scored: DataFrame, truth: str, review: str = "needs_review") -> DataFrame:
+    """The rows that the reviewers left open, with what the classifier makes of them."""
+    return scored.filter(F.col(truth) == review).select("tweet_id", "prediction_label", "confidence", "margin", "top")
+
+
+def save_model(model, index: StringIndexerModel, path: str) -> None:
+    """Model and label index to a folder; one that exists is refused."""
+    model.write().save(f"{path}/model")
+    index.write().save(f"{path}/labels")
+
+
+def load_model(path: str, kind: type):
+    """What :func:`save_model` wrote; ``kind`` is the class of the model."""
+    return kind.load(f"{path}/model"), StringIndexerModel.load(f"{path}/labels")
 
 
 def hashed_encoder(df: DataFrame, text: str = "text", size: int = 64) -> DataFrame:
@@ -119,4 +165,35 @@ def hashed_encoder(df: DataFrame, text: str = "text", size: int = 64) -> DataFra
     return df.withColumn("vector", F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
 
 
-__all__ = ["TfIdf", "bounded", "fit_classifier", "hashed_encoder", "predict"]
+def encode_batches(df: DataFrame, encode: Callable[[list[str]], list[list[float]]], key: str, text: str = "text", batch: int = 256) -> DataFrame:
+    """``key, vector`` by an encoder of the caller's, which takes texts in batches; vectors are scaled to length 1.
+
+    Null texts are encoded as empty ones.  A batch that comes back with another number of vectors is an error."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            texts = [t if isinstance(t, str) else "" for t in pdf[text]]
+            vectors = []
+            for a in range(0, len(texts), batch):
+                got = np.asarray(encode(texts[a : a + batch]), dtype=np.float32)
+                if len(got) != len(texts[a : a + batch]):
+                    raise ValueError("the encoder gave another number of vectors than texts")
+                norm = np.linalg.norm(got, axis=1, keepdims=True)
+                vectors += list(got / np.where(norm > 0, norm, 1))
+            yield pd.DataFrame({key: pdf[key], "vector": [v.tolist() for v in vectors]})
+
+    return df.select(key, text).mapInPandas(work, f"{key} {kind}, vector array<float>")
+
+
+def check_vectors(corpus: DataFrame, vectors: DataFrame, key: str, low: float = 0.99, high: float = 1.01) -> DataFrame:
+    """One row: ``n_corpus, n_vectors, n_missing`` (rows without vector), ``n_off`` (vectors whose length is not in [low, high])."""
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    both = corpus.select(F.col(key).alias("k"), F.lit(1).alias("c")).join(vectors.select(F.col(key).alias("k"), norm.alias("norm"), F.lit(1).alias("v")), "k", "full")
+    return both.agg(
+        F.count("c").alias("n_corpus"), F.count("v").alias("n_vectors"), F.count_if(F.col("v").isNull()).alias("n_missing"),
+        F.count_if((F.col("norm") < low) | (F.col("norm") > high)).alias("n_off"),
+    )
+
+
+__all__ = ["TfIdf", "bounded", "check_vectors", "encode_batches", "fit_classifier", "hashed_encoder", "load_model", "predict", "save_model"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.messages import direction, first_mention, present
+from loomwork.session import written
 
 
 def counts(messages: DataFrame) -> DataFrame:
@@ -63,18 +64,22 @@ def repeated_ids(messages: DataFrame, id_col: str = "tweet_id", fields: tuple[st
     return messages.groupBy(id_col).agg(*vals).filter("n_rows > 1").select(id_col, "n_rows", differs.alias("conflicting"))
 
 
-def row_quality(messages: DataFrame) -> DataFrame:
-    """One row of quality counters."""
+def row_quality(messages: DataFrame, *more) -> DataFrame:
+    """One row of quality counters, with further aggregates if given."""
+    return messages.agg(*_quality(), *more)
+
+
+def _quality() -> list:
     text, ts = F.trim(F.coalesce("text", F.lit(""))), F.trim(F.coalesce("created_at", F.lit("")))
     parent = F.trim(F.coalesce("in_response_to_tweet_id", F.lit("")))
-    return messages.agg(
+    return [
         F.count("*").alias("n_rows"),
         F.count_if(text == "").alias("empty_text"),
         F.count_if((ts == "") | (ts == "nan")).alias("missing_timestamp"),
         F.count_if(direction("inbound") == "unknown").alias("bad_inbound"),
         F.count_if((parent != "") & (parent == F.trim("tweet_id"))).alias("self_parent"),
         F.count_if(F.array_contains(F.split(F.regexp_replace(F.coalesce("response_tweet_id", F.lit("")), r"\s", ""), ","), F.trim("tweet_id"))).alias("self_response"),
-    )
+    ]
 
 
 def severity_report(quality: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -85,13 +90,60 @@ def severity_report(quality: DataFrame, rules: list[tuple[str, str, str]]) -> Da
     return quality.select(F.explode(rows).alias("x")).select("x.*").filter("n > 0")
 
 
+def _digest(*cols: str):
+    """16 bytes that stand for a value (null for null): distinct counts shuffle these instead of texts."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols]
+    code = F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+    return F.when(F.col(cols[0]).isNotNull(), code) if len(cols) == 1 else code
+
+
 def duplicate_audit(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
     """One row: rows and distinct values of columns and of pairs of columns."""
-    aggs = [F.count("*").alias("n_rows")]
-    aggs += [F.countDistinct(c).alias("distinct_" + c) for c in columns]
-    aggs += [F.countDistinct(F.struct(a, b)).alias(f"distinct_{a}_{b}") for a, b in pairs]
-    return df.agg(*aggs)
+    named = {c: _digest(c) for c in columns} | {f"{a}_{b}": _digest(a, b) for a, b in pairs}
+    codes = df.select(*[code.alias(n) for n, code in named.items()])
+    return codes.agg(F.count("*").alias("n_rows"), *[F.countDistinct(n).alias("distinct_" + n) for n in named])
 
 
 def most_repeated(df: DataFrame, column: str, top: int = 5) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), column).limit(top)
+    """``column, n`` of the values repeated most, ties by value.  Counted by digest; the texts are fetched for the ties
+    and winners only."""
+    rows = df.filter(F.col(column).isNotNull()).select(_digest(column).alias("d"), column)
+    n = rows.groupBy("d").agg(F.count("*").alias("n")).filter("n > 1")
+    n = written(n, "repeats")
+    least = n.orderBy(F.desc("n")).limit(top).agg(F.min("n")).first()[0]  # one number
+    winners = n.filter(F.col("n") >= F.lit(least))
+    texts = rows.join(winners, "d").groupBy("d", "n").agg(F.first(column).alias(column))
+    return texts.select(column, "n").orderBy(F.desc("n"), column).limit(top)
+
+
+#: Counters of :func:`validation_figures` with severity and wording.
+VALIDATION_RULES = (
+    ("n_no_id", "error", "rows without id"), ("n_no_brand_rows", "error", "no rows of the brand"), ("n_no_inbound", "warning", "no customer rows"), ("n_duplicate_ids", "warning", "repeated ids"),
+    ("n_conflicts", "warning", "ids with conflicting records"), ("n_empty_text", "warning", "rows without text"), ("n_no_time", "warning", "rows without time"), ("n_bad_inbound", "warning", "rows of unknown direction"),
+    ("n_self_parent", "warning", "rows that answer themselves"), ("n_self_response", "warning", "rows that list themselves as reply"), ("n_too_few", "warning", "too few ids"),
+    ("n_ids", "info", "ids"), ("n_parent", "info", "rows with parent field"), ("n_response", "info", "rows with response field"),
+)
+
+
+def validation_figures(messages: DataFrame, brand: str, least: int = 100) -> DataFrame:
+    """One row of figures over an extraction read back: row counters in one pass, repeated and conflicting ids in another."""
+    more = [
+        F.count_if(~present("tweet_id")).alias("n_no_id"), F.count_if((F.trim("author_id") == brand) & (direction("inbound") == "outbound")).alias("n_brand"),
+        F.count_if(direction("inbound") == "inbound").alias("n_inbound"), F.count_if(present("in_response_to_tweet_id")).alias("n_parent"),
+        F.count_if(present("response_tweet_id")).alias("n_response"), F.lit(1).alias("one"),
+    ]
+    repeats = repeated_ids(messages.filter(present("tweet_id")).withColumn("tweet_id", F.trim("tweet_id")))
+    twice = repeats.agg(F.coalesce(F.sum(F.col("n_rows") - 1), F.lit(0)).alias("n_duplicate_ids"), F.count_if("conflicting").alias("n_conflicts"), F.lit(1).alias("one"))
+    one = row_quality(messages, *more).join(twice, "one")  # one row each
+    n_ids = F.col("n_rows") - F.col("n_no_id") - F.col("n_duplicate_ids")
+    return one.select(
+        "n_no_id", F.when(F.col("n_brand") == 0, 1).otherwise(0).alias("n_no_brand_rows"), F.when(F.col("n_inbound") == 0, 1).otherwise(0).alias("n_no_inbound"),
+        "n_duplicate_ids", "n_conflicts", F.col("empty_text").alias("n_empty_text"), F.col("missing_timestamp").alias("n_no_time"), F.col("bad_inbound").alias("n_bad_inbound"),
+        F.col("self_parent").alias("n_self_parent"), F.col("self_response").alias("n_self_response"), F.when(n_ids < least, 1).otherwise(0).alias("n_too_few"),
+        n_ids.alias("n_ids"), "n_parent", "n_response",
+    )
+
+
+def validation_report(messages: DataFrame, brand: str, least: int = 100) -> DataFrame:
+    """``severity, rule, n`` of everything that was found, errors, warnings and plain figures."""
+    return severity_report(validation_figures(messages, brand, least), list(VALIDATION_RULES))

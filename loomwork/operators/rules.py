@@ -61,11 +61,12 @@ def label_order(rules: tuple[Rule, ...]) -> list[str]:
 
 
 def scores(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """``array<struct<neg, ord, label>>`` of the labels above zero, best first, ties in the order of the table."""
+    """``array<struct<neg, ord, label, why>>`` of the labels above zero, best first, ties in the order of the table."""
     parts = []
     for i, label in enumerate(label_order(rules)):
         total = reduce(lambda a, b: a + b, [F.when(text.rlike("(?U)" + r.pattern), r.weight).otherwise(0) for r in rules if r.label == label])
-        parts.append(F.struct((-total).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label")))
+        why = F.array_compact(F.array(*[F.when(text.rlike("(?U)" + r.pattern), F.lit(r.reason)) for r in rules if r.label == label]))
+        parts.append(F.struct((-total).alias("neg"), F.lit(i).alias("ord"), F.lit(label).alias("label"), why.alias("why")))
     return F.array_sort(F.filter(F.array(*parts), lambda x: x["neg"] < 0))
 
 
@@ -80,7 +81,7 @@ def weak_labels(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     top, second = F.try_element_at("__s", F.lit(1)), F.try_element_at("__s", F.lit(2))
     short = (F.length("__n") < 8) | (F.size(F.split("__n", " ")) <= 1)
     clash = second.isNotNull() & ((top["neg"] == second["neg"]) | ((top["neg"] <= -2) & (second["neg"] <= -2)))
-    rivals = F.array_join(F.transform(F.filter("__s", lambda x: x["neg"] <= second["neg"]), lambda x: x["label"]), ",")
+    rivals = F.array_join(F.transform(F.filter("__s", lambda x: x["neg"] <= second["neg"]), lambda x: F.concat(F.lit("'"), x["label"], F.lit("'"))), ", ")
     def verdict(label, source, reason, confidence):
         return F.struct(label.alias("label"), F.lit(source).alias("source"), reason.alias("reason"), confidence.alias("confidence"))
 
@@ -88,8 +89,8 @@ def weak_labels(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     pick = (
         F.when(short, verdict(fallback, "fallback", F.lit("too_short_or_conversational"), low))
         .when(F.size("__s") == 0, verdict(fallback, "fallback", F.lit("no_matching_rules_found"), low))
-        .when(clash, verdict(F.lit(REVIEW), "rule", F.concat(F.lit("ambiguous:"), rivals), low))
-        .otherwise(verdict(top["label"], "rule", F.concat(F.lit("score="), (-top["neg"]).cast("string")), F.when(top["neg"] <= -2, "high").otherwise("medium")))
+        .when(clash, verdict(F.lit(REVIEW), REVIEW, F.concat(F.lit("conflicting_rules_matched: ["), rivals, F.lit("]")), low))
+        .otherwise(verdict(top["label"], "rule", F.concat(F.lit("matched: "), F.array_join(top["why"], ", ")), F.when(top["neg"] <= -2, "high").otherwise("medium")))
     )
     matched = F.array_join(F.array_sort(F.transform("__s", lambda x: x["label"])), "|")
     return s.withColumn("__p", pick).select(

@@ -42,9 +42,10 @@ def lookup_join(
         .orderBy(F.desc("__reps"), "__h")
         .limit(HOT_KEYS)
     )
-    if hot.isEmpty():
+    found = [(r["__h"], r["__reps"]) for r in hot.collect()]  # at most HOT_KEYS pairs of numbers
+    if not found:
         return left.join(right, key, how)
-    hot = F.broadcast(hot)
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, "__h bigint, __reps int"))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__reps")).cast("int")
     a = left.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(0))).drop("__h", "__reps")
     repeats = F.explode(F.sequence(F.lit(0), F.coalesce("__reps", F.lit(1)) - 1))

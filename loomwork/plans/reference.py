@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import messages as M
-from loomwork.functions.text import match_form
+from loomwork.functions.text import ENTITIES, decode_entities, match_form
 from loomwork.operators import extract as X
 from loomwork.operators import isolation as I
 from loomwork.operators import metrics as E
@@ -17,7 +17,6 @@ from loomwork.operators import retrieval as R
 from loomwork.operators import review as V
 from loomwork.operators import rules as K
 from loomwork.operators import threads as H
-from loomwork.sources.files import table_hash
 from loomwork.sources.tables import id_number, id_text, table
 
 BRAND = "AppleSupport"
@@ -110,17 +109,23 @@ def row_quality(spark, d):
     return P.row_quality(_t(spark, d, "twcs"))
 
 
-_RULES = [("empty_text", "warning", "messages without text"), ("missing_timestamp", "warning", "messages without time"), ("bad_inbound", "warning", "direction unknown"),
-          ("self_parent", "error", "message answers itself"), ("self_response", "error", "message lists itself as reply")]
+_VALID = f"""q as (select count(*) filter (where not {_PRESENT('tweet_id')}) n_no_id, case when count(*) filter (where trim(author_id) = '{BRAND}' and {_DIR} = 'outbound') = 0 then 1 else 0 end n_no_brand_rows,
+ case when count(*) filter (where {_DIR} = 'inbound') = 0 then 1 else 0 end n_no_inbound, count(*) filter (where trim(coalesce(text,''), ' ') = '') n_empty_text, count(*) filter (where trim(coalesce(created_at,'')) in ('', 'nan')) n_no_time,
+ count(*) filter (where {_DIR} = 'unknown') n_bad_inbound, count(*) filter (where trim(coalesce(in_response_to_tweet_id,'')) <> '' and trim(in_response_to_tweet_id) = trim(tweet_id)) n_self_parent,
+ count(*) filter (where list_contains(string_split(regexp_replace(coalesce(response_tweet_id,''), '\\s', '', 'g'), ','), trim(tweet_id))) n_self_response, count(distinct case when {_PRESENT('tweet_id')} then trim(tweet_id) end) n_ids,
+ count(*) filter (where {_PRESENT('tweet_id')}) n_with, count(*) filter (where {_PRESENT('in_response_to_tweet_id')}) n_parent, count(*) filter (where {_PRESENT('response_tweet_id')}) n_response from twcs),
+w as (select *, n_with - n_ids n_duplicate_ids, case when n_ids < 100 then 1 else 0 end n_too_few, (select count(*) from (select trim(tweet_id) from twcs where {_PRESENT('tweet_id')} group by 1
+ having count(distinct coalesce(text, chr(0))) > 1 or count(distinct coalesce(author_id, chr(0))) > 1)) n_conflicts from q)"""
 
 
-@query(f"with q as ({_QUALITY}) select * from (" + " union all ".join(f"select '{s}' severity, '{r}' \"rule\", {c} n from q" for c, s, r in _RULES) + ") where n > 0")
+@query(f"with {_VALID} select * from (" + " union all ".join(f"select '{s}' severity, '{r}' \"rule\", cast({c} as bigint) n from w" for c, s, r in P.VALIDATION_RULES) + ") where n > 0")
 def severity_report(spark, d):
-    return P.severity_report(P.row_quality(_t(spark, d, "twcs")), _RULES)
+    """Errors, warnings and figures of a message table read back."""
+    return P.validation_report(_t(spark, d, "twcs"), BRAND)
 
 
 @query("""select count(*) n_rows, count(distinct doc_id) distinct_doc_id, count(distinct text) distinct_text, count(distinct author_id) distinct_author_id,
- count(distinct (source, text)) distinct_source_text from documents""")
+ count(distinct coalesce(source, chr(0)) || chr(31) || coalesce(text, chr(0))) distinct_source_text from documents""")
 def duplicate_audit(spark, d):
     return P.duplicate_audit(_t(spark, d, "documents"), ["doc_id", "text", "author_id"], [("source", "text")])
 
@@ -182,7 +187,25 @@ def star_pricing_summary(spark, d):
 
 # ------------------------------------------------------------------ text functions
 
-_DEC = "replace(replace(replace(replace(replace(replace(coalesce({0},''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&AMP;', '&'), '&amp;', '&')".format
+#: Fixed values of functions.text, as the other engine writes them: one replacement after the other, the ampersand last.
+def _decoded(x: str) -> str:
+    for pattern, to in ENTITIES:
+        # the other engine has no look-ahead: a reference without semicolon is followed by a captured sign or the end
+        bare = pattern.replace("(?i)", "")
+        q = to.replace("'", "''")
+        parts = [p.replace("(?![a-z;])", "") for p in bare.split("|") if "(?!" in p]
+        plain = "|".join(p for p in bare.split("|") if "(?!" not in p)
+        x = f"regexp_replace({x}, '(?i){plain}', '{q}', 'g')"
+        for p in parts:
+            for _ in range(2):  # a captured sign cannot begin the next match
+                x = f"regexp_replace({x}, '(?i){p}([^a-zA-Z;]|$)', '{q}\\1', 'g')"
+    return x
+
+
+_DEC = _decoded("coalesce({0},'')").format
+#: Letters, marks, digits and connectors as both engines' patterns see them, and white space.
+_WORD = r"\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x{{200c}}\x{{200d}}".replace("{{", "{").replace("}}", "}")
+_SPACE = r"\s\x{0b}\x{85}\p{Z}"
 _ASCII = "case when length(coalesce(text,'')) = 0 then 1.0 else length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / length(text) end"
 _USEFUL = "len(list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce(text,''), 'https?://\\S+', ' ', 'g'), '@\\S+', ' ', 'g'), '\\s+'), lambda w: regexp_matches(w, '^\\p{L}+$')))"
 
@@ -203,31 +226,18 @@ def masked_fields(spark, d):
     return _t(spark, d, "documents").select("doc_id", M.masked_fields("text").alias("n_masked"))
 
 
-@query("select doc_id, regexp_replace(regexp_replace(text, '\\b\\d{8,}\\b', '[ID]', 'g'), '\\S+@\\S+', '[email]', 'g') masked from documents where text is not null and not regexp_matches(text, '[^\\x00-\\x7F]')")
-def redact_plain(spark, d):
-    """Long numbers and addresses masked (texts in ASCII, where both engines' word borders agree)."""
-    return _t(spark, d, "documents").filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", M.redact_plain("text").alias("masked"))
+_LONG = f"(^|[^{_WORD}])\\p{{Nd}}{{8,}}($|[^{_WORD}])"
 
 
-@query(None)
-def redact_plain_all(spark, d):
+@query(f"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_LONG}', '\\1[ID]\\2', 'g'), '{_LONG}', '\\1[ID]\\2', 'g'), '[^{_SPACE}]+@[^{_SPACE}]+', '[email]', 'g') masked from documents where text is not null")
+def redact_plain(spark, d):
     """Long numbers and addresses masked in every text that is not null."""
     return _t(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", M.redact_plain("text").alias("masked"))
 
 
-@query(f"select tweet_id, {_DEC('text')} decoded from twcs where contains(text, '&') and regexp_matches(text, '&(amp|lt|gt|quot|#39|AMP);') and not regexp_matches(text, '&[A-Za-z]+(?:[^A-Za-z;]|$)')")
+@query(f"select tweet_id, {_DEC('text')} decoded from twcs where text is not null")
 def html_decode(spark, d):
-    from loomwork.functions.text import decode_entities
-
-    rows = _t(spark, d, "twcs").filter(F.col("text").contains("&") & F.col("text").rlike("&(amp|lt|gt|quot|#39|AMP);") & ~F.col("text").rlike("&[A-Za-z]+(?:[^A-Za-z;]|$)"))
-    return rows.select("tweet_id", decode_entities("text").alias("decoded"))
-
-
-@query(None)
-def html_decode_all(spark, d):
     """Character references decoded in every text that is not null."""
-    from loomwork.functions.text import decode_entities
-
     return _t(spark, d, "twcs").filter(F.col("text").isNotNull()).select("tweet_id", decode_entities("text").alias("decoded"))
 
 
@@ -326,11 +336,7 @@ def thread_flags(spark, d):
 
 
 def _turns(spark, d):
-    from loomwork.operators.hierarchy import resolve_hierarchy
-    from loomwork.session import written
-
-    rows = written(H.message_rows(_t(spark, d, "twcs")), "turn-rows")
-    return rows.join(resolve_hierarchy(rows.select("id", "parent")).select("id", "root"), "id")
+    return H.placed(_t(spark, d, "twcs")).select("root", "id", "t", "is_customer", "empty")
 
 
 @query(f"""with recursive {_TREE}, r as (select root, (coalesce(t, 1152921504606846976), id) k, cust, id from tree join m using (id) where trim(text, ' ') <> ''),
@@ -338,15 +344,7 @@ q as (select root, min(k) k, arg_min(id, k) qid from r where cust group by 1)
 select lpad(cast(q.root as varchar), 10, '0') root_tweet_id, q.qid customer_id, arg_min(r.id, r.k) brand_id from q join r on q.root = r.root and not r.cust and r.k > q.k group by 1, 2""")
 def customer_brand_pairs(spark, d):
     """First customer message of each thread with the first brand message after it."""
-    return H.first_exchange(_turns(spark, d).select("root", "id", "t", "is_customer", "text")).select(id_text("root").alias("root_tweet_id"), "customer_id", "brand_id")
-
-
-@query(f"""with recursive {_TREE} select count(*) n_threads, count(distinct root) n_roots from th""")
-def thread_json_rows(spark, d):
-    """Thread records written as nested JSON texts, read back and counted."""
-    j = H.to_json_rows(H.thread_records(_t(spark, d, "twcs")))
-    back = j.select(F.from_json("value", "thread_id string, root_tweet_id string").alias("x"))
-    return back.agg(F.count("*").alias("n_threads"), F.countDistinct("x.root_tweet_id").alias("n_roots"))
+    return H.first_exchange(_turns(spark, d)).select(id_text("root").alias("root_tweet_id"), "customer_id", "brand_id")
 
 
 # ------------------------------------------------------------------ brands
@@ -371,34 +369,29 @@ def _brands(spark, d):
     )
 
 
-@query(f"""with {_BRANDS}, s as (select brand, n_out / max(n_out) over () volume, english * (1 - noise) quality, parent_share from b)
-select brand, row_number() over (order by round(0.4 * volume + 0.3 * quality + 0.3 * parent_share, 9) desc, brand) volume_rank,
- row_number() over (order by round(0.5 * quality + 0.5 * parent_share, 9) desc, brand) quality_rank from s""")
-def brand_ranking(spark, d):
-    """Two weighted rankings of the brands; one row a brand reaches the window."""
-    from pyspark.sql import Window
-
-    b = _brands(spark, d)
-    vol = F.col("n_out") / F.max("n_out").over(Window.partitionBy())
-    q = F.col("english") * (1 - F.col("noise"))
-    s = b.select("brand", vol.alias("v"), q.alias("q"), "parent_share")
-    a = F.round(0.4 * F.col("v") + 0.3 * F.col("q") + 0.3 * F.col("parent_share"), 9)
-    z = F.round(0.5 * F.col("q") + 0.5 * F.col("parent_share"), 9)
-    return s.select("brand", F.row_number().over(Window.orderBy(a.desc(), "brand")).alias("volume_rank"), F.row_number().over(Window.orderBy(z.desc(), "brand")).alias("quality_rank"))
+# ------------------------------------------------------------------ rule labels
 
+_NORM = f"trim(regexp_replace(lower(regexp_replace(regexp_replace({_DEC('text')}, '(?i)https?://\\S+', ' ', 'g'), '@[{_WORD}]+', ' ', 'g')), '[{_SPACE}]+', ' ', 'g'), ' ')"
 
-# ------------------------------------------------------------------ rule labels
 
-_NORM = f"trim(regexp_replace(lower(regexp_replace(regexp_replace({_DEC('text')}, '(?i)https?://\\S+', ' ', 'g'), '@[A-Za-z0-9_]+', ' ', 'g')), '\\s+', ' ', 'g'))"
+def _bounded(pattern: str) -> str:
+    """A rule's pattern for an engine whose word border knows ASCII only: the border becomes a sign or an end."""
+    head, *rest = pattern.split("\\b")
+    return f"(?:^|[^{_WORD}])" + f"(?:$|[^{_WORD}])".join(rest) if not head else f"(?:$|[^{_WORD}])".join([head, *rest])
 
 
 def _score_sql(label: str) -> str:
     q = chr(39)
-    return " + ".join(f"case when regexp_matches(x, '{r.pattern.replace(q, q + q)}') then {r.weight} else 0 end" for r in K.SUPPORT_LEXICON if r.label == label)
+    return " + ".join(f"case when regexp_matches(x, '{_bounded(r.pattern).replace(q, q + q)}') then {r.weight} else 0 end" for r in K.SUPPORT_LEXICON if r.label == label)
+
+
+def _why_sql(label: str) -> str:
+    q = chr(39)
+    return "[" + ", ".join(f"case when regexp_matches(x, '{_bounded(r.pattern).replace(q, q + q)}') then '{r.reason}' end" for r in K.SUPPORT_LEXICON if r.label == label) + "]"
 
 
 _LABELS = K.label_order(K.SUPPORT_LEXICON)
-_SCORED = f"""n as (select tweet_id, thread_id, {_NORM} x from apple_support_intent_training_candidates where text is not null and not regexp_matches(text, '[^\\x00-\\x7F]')),
+_SCORED = f"""n as (select tweet_id, thread_id, {_NORM} x from apple_support_intent_training_candidates where text is not null),
 s as (select tweet_id, thread_id, x, list_sort(list_filter([{', '.join(f"{{'neg': -({_score_sql(v)}), 'ord': {i}, 'label': '{v}'}}" for i, v in enumerate(_LABELS))}], lambda z: z.neg < 0)) s from n),
 l as (select *, case when length(x) < 8 or len(string_split(x, ' ')) <= 1 then 'unknown_other' when len(s) = 0 then 'unknown_other'
  when len(s) > 1 and (s[1].neg = s[2].neg or (s[1].neg <= -2 and s[2].neg <= -2)) then 'needs_review' else s[1].label end label,
@@ -406,36 +399,33 @@ l as (select *, case when length(x) < 8 or len(string_split(x, ' ')) <= 1 then '
  when s[1].neg <= -2 then 'high' else 'medium' end conf, array_to_string(list_sort(list_transform(s, lambda z: z.label)), '|') matched, len(s) k from s)"""
 
 
-def _labelled(spark, d, ascii_only=True):
+def _labelled(spark, d):
     rows = _t(spark, d, "apple_support_intent_training_candidates").filter(F.col("text").isNotNull())
-    if ascii_only:
-        rows = rows.filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
     return K.weak_labels(rows.select("tweet_id", "thread_id", "text"))
 
 
 @query(f"with {_SCORED} select tweet_id, thread_id, label, conf, matched from l")
 def rule_labels(spark, d):
-    """Weak labels of the candidates by the support lexicon (ASCII texts, where both engines' patterns agree)."""
+    """Weak labels of all candidates with a text, in any script, by the support lexicon."""
     return _labelled(spark, d).select("tweet_id", "thread_id", F.col("rule_label").alias("label"), F.col("rule_confidence").alias("conf"), F.col("rule_matched").alias("matched"))
 
 
+@query(f"""with {_SCORED} select case when length(x) < 8 or len(string_split(x, ' ')) <= 1 then 'too_short_or_conversational' when k = 0 then 'no_matching_rules_found'
+ when label = 'needs_review' then 'conflicting_rules_matched: [' || array_to_string(list_transform(list_filter(s, lambda z: z.neg <= s[2].neg), lambda z: chr(39) || z.label || chr(39)), ', ') || ']'
+ else 'matched: ' || array_to_string(list_filter(case label {' '.join(f"when '{v}' then {_why_sql(v)}" for v in _LABELS)} end, lambda z: z is not null), ', ') end reason,
+ case when length(x) < 8 or len(string_split(x, ' ')) <= 1 or k = 0 then 'fallback' when label = 'needs_review' then 'needs_review' else 'rule' end source, count(*) n from l group by 1, 2""")
+def rule_reasons(spark, d):
+    """Sources and reasons of the weak labels."""
+    return _labelled(spark, d).groupBy(F.col("rule_reason").alias("reason"), F.col("rule_source").alias("source")).agg(F.count("*").alias("n"))
+
+
 @query(f"""with {_SCORED} select case when k > 1 then 'critical' when label in ('software_update', 'unknown_other', 'needs_review') then 'high' when conf in ('low', 'medium') then 'medium' else 'normal' end priority,
  count(*) n, count(*) filter (where k > 1) n_overlap from l group by 1""")
 def rule_overlap_priority(spark, d):
+    """Review priorities of the weak labels and how many rules overlap."""
     return K.review_priority(_labelled(spark, d)).groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("rule_match_count") > 1).alias("n_overlap"))
 
 
-@query(None)
-def rule_labels_all(spark, d):
-    """Weak labels of all candidates with a text, in any script."""
-    return _labelled(spark, d, False).select("tweet_id", "thread_id", F.col("rule_label").alias("label"), F.col("rule_confidence").alias("conf"), F.col("rule_matched").alias("matched"))
-
-
-@query(None)
-def rule_overlap_priority_all(spark, d):
-    return K.review_priority(_labelled(spark, d, False)).groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("rule_match_count") > 1).alias("n_overlap"))
-
-
 _HIST = ["candidate_intent", "label_source", "label_confidence", "selection_reason"]
 
 
@@ -536,9 +526,9 @@ def macro_weighted(spark, d):
     return o.select(*[F.round(c, 9).alias(c) for c in o.columns if c != "n"], "n")
 
 
-@query(f"""select case_difficulty, count(*) n, round(avg(case when golden_intent = candidate_intent then 1.0 else 0.0 end), 9) accuracy from {_GOLD} where case_difficulty is not null group by 1""")
+@query(f"""select case_difficulty, count(*) n, round(avg(case when golden_intent = candidate_intent then 1.0 else 0.0 end), 9) accuracy from {_GOLD} where case_difficulty is not null and case_difficulty <> 'ambiguous_multi_intent' group by 1""")
 def slice_accuracy(spark, d):
-    s = E.slice_accuracy(_t(spark, d, _GOLD), "case_difficulty", "golden_intent", "candidate_intent")
+    s = E.slice_accuracy(_t(spark, d, _GOLD), "case_difficulty", "golden_intent", "candidate_intent", ("ambiguous_multi_intent",))
     return s.select("case_difficulty", "n", F.round("accuracy", 9).alias("accuracy"))
 
 
@@ -668,26 +658,16 @@ def lookup_default(spark, d):
 @query(None)
 def grounding_overlap(spark, d):
     """Replies of each first exchange against the customer's text: overlap, grounding, relevance, completeness, verdict."""
-    pairs = H.first_exchange(_turns(spark, d).select("root", "id", "t", "is_customer", "text"))
+    pairs = H.exchange_texts(H.first_exchange(_turns(spark, d)), _t(spark, d, "twcs"))
     q, a = F.col("customer_text"), F.col("brand_text")
     scored = pairs.select(
-        "root", V.overlap(a, q).alias("overlap"), V.grounding(a, q).alias("grounding"), V.relevance(q, a).alias("relevance"), V.completeness(a).alias("completeness"),
+        "root", V.overlap(a, q).alias("overlap"), V.grounding(a, q, F.lit(1.0)).alias("grounding"), V.relevance(q, a).alias("relevance"), V.completeness(a).alias("completeness"),
         F.size(V.new_links(a, q)).alias("n_new_links"),
     )
     judged = V.verdict(scored, {"grounding": 0.4, "relevance": 0.3, "completeness": 0.3})
     return judged.groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 6).alias("mean_overall"), F.sum("n_new_links").alias("n_new_links"))
 
 
-@query(None)
-def table_fingerprints(spark, d):
-    """Order-independent content hashes of the fixed tables."""
-    out = None
-    for n in (_GOLD, "benchmark_cases", "context_budgets"):
-        one = table_hash(_t(spark, d, n)).withColumn("table", F.lit(n))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("""select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') window_start, event_type, count(*) n from events where ts is not null group by 1, 2""")
 def hourly_event_counts(spark, d):
     """The streaming window count on the stored events."""
@@ -696,33 +676,40 @@ def hourly_event_counts(spark, d):
     return windowed_counts(_t(spark, d, "events"), "ts", ["event_type"]).select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n")
 
 
-@query(None)
-def intent_classifier(spark, d):
-    """A balanced TF-IDF classifier fitted on isolated candidates, judged on the held-out messages."""
+def _classified(spark, d):
+    """The held-out messages with the predictions of a classifier.  Vocabulary, document frequencies and class weights
+    are those of all isolated candidates; only the fit of the classifier takes at most ``ml.TRAIN_ROWS`` of them."""
     from loomwork.operators import ml
+    from loomwork.session import written
 
     train = I.isolated(_t(spark, d, _CAND), _t(spark, d, _GOLD)).filter("candidate_intent is not null and candidate_intent <> 'needs_review' and text is not null")
-    train = ml.bounded(train.select("tweet_id", "text", "candidate_intent"), "tweet_id").cache()
+    train = written(train.select("tweet_id", "text", "candidate_intent"), "isolated")
     tfidf = ml.TfIdf().fit(train)
-    model, index = ml.fit_classifier(tfidf.transform(train), "candidate_intent")
-    test = _t(spark, d, _GOLD).filter("golden_intent is not null and text is not null").select("tweet_id", "text", "golden_intent")
-    scored = ml.predict(model, index, tfidf.transform(test))
-    out = E.per_class(E.confusion(scored, "golden_intent", "prediction_label"))
-    return out.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+    weights = E.class_weights(train, "candidate_intent")
+    model, index = ml.fit_classifier(tfidf.transform(ml.bounded(train, "tweet_id")), "candidate_intent", weights=weights)
+    test = _t(spark, d, _GOLD).filter("golden_intent is not null").select("tweet_id", F.coalesce("text", F.lit("")).alias("text"), "golden_intent", "case_difficulty")
+    return ml.predict(model, index, tfidf.transform(test), "text")
 
 
-@query("select thread_id, length(match_text) n_match from (select thread_id, " + _NORM + " match_text from apple_support_intent_training_candidates where text is not null and not regexp_matches(text, '[^\\x00-\\x7F]')) where length(match_text) < 8")
-def short_messages(spark, d):
-    """Candidates too short to label."""
-    m = match_form("text")
-    rows = _t(spark, d, _CAND).filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.filter(F.length(m) < 8).select("thread_id", F.length(m).alias("n_match"))
+@query(None)
+def ambiguous_diagnostics(spark, d):
+    """What a classifier makes of the held-out messages that the reviewers left open."""
+    from loomwork.operators import ml
+
+    rows = ml.ambiguous_cases(_classified(spark, d), "golden_intent")
+    return rows.select("tweet_id", "prediction_label", "confidence", "margin", F.to_json("top").alias("top"))
 
 
 @query(None)
-def short_messages_all(spark, d):
-    """Candidates too short to label, in any script."""
-    m = match_form("text")
-    return _t(spark, d, _CAND).filter(F.col("text").isNotNull()).filter(F.length(m) < 8).select("thread_id", F.length(m).alias("n_match"))
+def intent_classifier(spark, d):
+    """A balanced TF-IDF classifier fitted on isolated candidates, judged on the held-out messages."""
+    scored = _classified(spark, d)
+    out = E.per_class(E.confusion(scored, "golden_intent", "prediction_label"))
+    return out.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@query(f"select tweet_id, length(x) n_match from (select tweet_id, {_NORM} x from twcs where text is not null) where length(x) < 8")
+def short_messages(spark, d):
+    """Messages too short to label, in any script."""
+    m = match_form("text")
+    return _t(spark, d, "twcs").filter(F.col("text").isNotNull()).select("tweet_id", F.length(m).alias("n_match")).filter("n_match < 8")

@@ -62,11 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dirs[app]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back."""
+def written(df: DataFrame, label: str, max_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back; ``max_rows`` bounds the rows of a file (0: no bound)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomwork/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwork_path = path

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.session import written
+
 MESSAGE_COLUMNS = ("tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id")
 
 
@@ -38,6 +40,27 @@ def read_messages_csv(spark: SparkSession, path: str, columns: tuple[str, ...] =
     return rows.filter(~bad).drop("_corrupt_record")
 
 
+def messages_table(spark: SparkSession, path: str, columns: tuple[str, ...] = MESSAGE_COLUMNS, rows_per_file: int = 2_000_000) -> DataFrame:
+    """The messages of quoted CSV files as a Parquet table, written once to the shared folder.
+
+    A quoted field may hold line breaks, so a CSV file can be split nowhere without reading it from its
+    start: each file is one task.  What is written can be split anywhere; everything after reads that."""
+    return written(read_messages_csv(spark, path, columns), "messages", max_rows=rows_per_file)
+
+
+def sample_rows(df: DataFrame, rows: int = 200) -> DataFrame:
+    """The first ``rows`` rows with ``inbound`` as a boolean (null where unknown), to look at a schema.  A sampling operator."""
+    flag = F.when(F.lower(F.trim("inbound")) == "true", True).when(F.lower(F.trim("inbound")) == "false", False)
+    return df.limit(rows).withColumn("inbound", flag)
+
+
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """CSV with a header and a fixed order of columns; ``mode`` is ``append``, ``overwrite`` or ``errorifexists``.
+
+    An append adds files to the folder, each with its header; rows already there are not read."""
+    df.select(*(columns or df.columns)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
 def check_columns(df: DataFrame, required: tuple[str, ...]) -> None:
     """Raise if a required column is missing; further columns are fine."""
     missing = sorted(set(required) - set(df.columns))
@@ -77,7 +100,16 @@ def metadata_json(metrics: DataFrame, notes: dict[str, Any]) -> str:
 
 
 def markdown_table(df: DataFrame, rows: int = 100) -> str:
-    """The first rows as a Markdown table, for reports."""
+    """The first rows as a Markdown table, for reports; a last line says if there are more."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    body = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in df.limit(rows).collect()]
-    return "\n".join([head, *body])
+    found = df.limit(rows + 1).collect()  # a bounded report
+    body = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in found[:rows]]
+    return "\n".join([head, *body, *(["", f"Only the first {rows} rows."] if len(found) > rows else [])])
+
+
+def markdown_report(title: str, sections: list[tuple[str, DataFrame | str]]) -> str:
+    """A report of headed sections, each a text or a table."""
+    parts = [f"# {title}"]
+    for head, content in sections:
+        parts += [f"## {head}", content if isinstance(content, str) else markdown_table(content)]
+    return "\n\n".join(parts) + "\n"
