@@ -2,6 +2,8 @@
 
 Found: e-mail addresses (also written out with "at" and "dot"), phone numbers, identity
 numbers given by an authority, street addresses with a number, names of persons.
+Names outside such contexts are found by :func:`learn_names`: words that the corpus mostly shows, with
+a capital, where a label or greeting says that a name stands.
 Dates of birth after their labels are replaced as well; they are no type of ``types_found``.
 Method for the replacement: format-preserving Feistel pseudonyms.  The digits and
 capital letters of a validated number are permuted by a keyed Feistel network within
@@ -25,6 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.skew import lookup_join
+from loomwork.session import written
+
 TYPES = ("email", "phone", "id_number", "street_address", "name")
 
 # ---------------------------------------------------------------- Feistel network
@@ -305,6 +310,9 @@ _TO_CUSTOMER = re.compile(r"\W*(?:@\d+\s+|[A-ZÀ-Þ][\w'’-]*,\s[A-Z])")
 _LITTLE = frozenset("de du la le l d el do da das dos lo st".split())
 
 
+_NAME_WORD = re.compile(r"[^\W\d_][\w]*")
+
+
 @dataclass(frozen=True)
 class Hit:
     start: int
@@ -335,12 +343,27 @@ def _name_span(m: re.Match, text: str) -> tuple[int, int] | None:
     return start, start + end
 
 
-def find(text: str) -> list[Hit]:
-    """The personal details of one text, by place, without overlaps."""
+def find(text: str, names: frozenset[str] = frozenset()) -> list[Hit]:
+    """The personal details of one text, by place, without overlaps; ``names`` are known names in lower case."""
     flat = text if text.isascii() else text.translate(_FLAT)
-    if "  " in flat:  # keep the places: only the patterns see single blanks
-        return _find_spaced(text, flat)
-    return _find(flat)
+    # keep the places: only the patterns see single blanks
+    hits = _find_spaced(text, flat) if "  " in flat else _find(flat)
+    return _known_names(text, hits, names) if names else hits
+
+
+def _known_names(text: str, hits: list[Hit], names: frozenset[str]) -> list[Hit]:
+    """``hits`` with the capitalised known names outside them; neighbours are one name."""
+    taken = [(h.start, h.end) for h in hits] + [m.span() for m in _URL.finditer(text)]
+    found: list[Hit] = []
+    for m in _NAME_WORD.finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if m.group().lower() not in names or before in ("@", "#", "^", "/") or any(a < m.end() and m.start() < b for a, b in taken):
+            continue
+        if found and text[found[-1].end : m.start()] == " ":
+            found[-1] = Hit(found[-1].start, m.end(), "name")
+        else:
+            found.append(Hit(m.start(), m.end(), "name"))
+    return sorted([*hits, *found], key=lambda h: h.start)
 
 
 def _find_spaced(text: str, flat: str) -> list[Hit]:
@@ -417,9 +440,9 @@ def _find(t: str, gated: bool = True) -> list[Hit]:
     return sorted(hits, key=lambda h: h.start)
 
 
-def redact(text: str, key: bytes) -> tuple[str, list[str]]:
+def redact(text: str, key: bytes, names: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
     """The text with placeholders, and the types found."""
-    hits = find(text)
+    hits = find(text, names)
     if not hits:
         return text, []
     out, at = [], 0
@@ -434,11 +457,44 @@ def redact(text: str, key: bytes) -> tuple[str, list[str]]:
     return "".join(out) + text[at:], sorted({h.kind for h in hits})
 
 
-def redact_rows(rows: DataFrame, key: bytes) -> DataFrame:
+_CAPITALS = r"\p{Lu}[\p{L}\p{M}\p{N}_]+"
+
+
+def learn_names(rows: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
+    """``word, n_context, n_capital`` of the words of ``rows (key, text)`` that are names by their contexts.
+
+    A word is one if labels or greetings show it ``least`` times and more, these are ``share`` or more of its
+    places with a capital, and it is not more frequent without one.  Counts are over all rows."""
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [w.lower() for t in pdf["text"] for h in find(t) if h.kind == "name" for w in _NAME_WORD.findall(t[h.start : h.end]) if len(w) > 2]
+            yield pd.DataFrame({"word": pd.Series(got, dtype=object)})
+
+    texts = rows.select("text").filter(F.col("text").isNotNull())
+    shown = written(texts.mapInPandas(labelled, "word string").groupBy("word").agg(F.count("*").alias("n_context")).filter(F.col("n_context") >= least), "shown-names")
+    every = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}[\p{L}\p{M}\p{N}_]+"), 0)).alias("w"))
+    counts = every.select(F.lower("w").alias("word"), F.col("w").rlike(r"^\p{Lu}").alias("capital")).join(shown.select("word"), "word", "left_semi")
+    counts = counts.groupBy("word").agg(F.count_if("capital").alias("n_capital"), F.count_if(~F.col("capital")).alias("n_small"))
+    names = shown.join(counts, "word").filter((F.col("n_context") >= share * F.col("n_capital")) & (F.col("n_small") <= F.col("n_capital")))
+    return names.select("word", "n_context", "n_capital")
+
+
+def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows (key, text)`` with ``names``: the known names of each text, joined by word, so the list may have any length."""
+    h = F.xxhash64("text")
+    words = rows.filter(F.col("text").isNotNull()).select("key", h.alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CAPITALS), 0))).alias("w"))
+    found = lookup_join(words.select("key", "h", F.lower("w").alias("word")), written(names, "known-names"), "word", "n_capital")
+    per = found.groupBy("key", "h").agg(F.collect_set("word").alias("names"))
+    return rows.select("key", "text").withColumn("h", h).join(per, ["key", "h"], "left").drop("h")
+
+
+def redact_rows(rows: DataFrame, key: bytes, names: DataFrame | None = None) -> DataFrame:
     """``key, redacted, types`` of ``rows (key, text)``, one row per input row.
 
     * Null texts stay null, with no types; blank texts stay as they are.
     * The same value gives the same pseudonym in every row and run with one ``key`` (16 to 64 bytes).
+    * ``names``: the result of :func:`learn_names`; without it names are found in their contexts only.
     * An empty table gives an empty result; further columns are ignored.
     """
     if not 16 <= len(key) <= 64:
@@ -446,11 +502,13 @@ def redact_rows(rows: DataFrame, key: bytes) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [redact(t, key) if isinstance(t, str) else (None, []) for t in pdf["text"]]
+            known = pdf["names"] if "names" in pdf else [None] * len(pdf)
+            done = [redact(t, key, frozenset(n) if n is not None else frozenset()) if isinstance(t, str) else (None, []) for t, n in zip(pdf["text"], known, strict=True)]
             yield pd.DataFrame({"key": pdf["key"], "redacted": [d[0] for d in done], "types": [d[1] for d in done]})
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "text").mapInPandas(work, f"key {kind}, redacted string, types array<string>")
+    source = rows.select("key", "text") if names is None else _with_names(rows, names)
+    return source.mapInPandas(work, f"key {kind}, redacted string, types array<string>")
 
 
 def types_found(rows: DataFrame, key: bytes) -> DataFrame:

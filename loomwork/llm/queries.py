@@ -12,7 +12,7 @@ from loomwork.llm.language import doubtful_languages, identify
 from loomwork.llm.cross_split import cosine_pairs, cross_split_overlaps, word_classes
 from loomwork.llm.leakage import leaked_passages
 from loomwork.llm.truncation import truncated, truncation_by_source
-from loomwork.llm.personal_data import redact_rows, types_found
+from loomwork.llm.personal_data import learn_names, redact_rows, types_found
 from loomwork.llm.conversations import clock_evidence, message_facts, rebuild_conversations, reply_constraints
 from loomwork.llm.packing import fill_report, pack, token_sizes
 from loomwork.session import written
@@ -175,10 +175,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The messages that hold personal details, with pseudonymous placeholders."""
-    rows = redact_rows(_personal(spark, folder).filter(F.col("key").isNotNull()), _key(spark)).filter(F.size("types") > 0)
+    texts = _personal(spark, folder).filter(F.col("key").isNotNull())
+    rows = redact_rows(texts, _key(spark), learn_names(texts)).filter(F.size("types") > 0)
     return rows.select(id_text("key").alias("tweet_id"), "redacted", F.array_join("types", ",").alias("types")).distinct()
 
 
+def p6_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that the messages' contexts show to be names."""
+    return learn_names(_personal(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every message of every kept conversation, in order of the corrected times.
 
@@ -258,6 +264,7 @@ QUERIES = {
     "p10_by_source": (p10_by_source, None),
     "p6_found": (p6_found, None),
     "p6_redacted": (p6_redacted, None),
+    "p6_names": (p6_names, None),
     "p3_found": (p3_found, P3_SQL),
     "p3_corrected": (p3_corrected, None),
     "p3_clocks": (p3_clocks, P3_CLOCKS_SQL),

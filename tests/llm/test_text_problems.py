@@ -216,6 +216,18 @@ def test_numbers_are_validated_and_formats_kept():
         pass
 
 
+def test_names_are_learned_from_contexts(spark):
+    texts = [f"my name is Maria Lopez, number {i}" for i in range(6)] + [f"@1 Hi Nadia, we can help {i}" for i in range(6)] + [f"my name is Apple {i}" for i in range(6)]
+    texts += [f"the Apple shop number {i}" for i in range(30)] + ["Maria Lopez told me", "I met Nadia there", "the Apple shop", "see @Nadia or https://a.example/Nadia", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    names = N.learn_names(df)
+    assert {r.word for r in names.collect()} == {"maria", "lopez", "nadia"}
+    got = {r.key: r.redacted for r in N.redact_rows(df, KEY, names).collect()}
+    n = len(texts)
+    assert got[n - 6] == f"<name:{N.token('Maria Lopez', KEY)}> told me" and got[n - 5].startswith("I met <name:") and got[n - 4] == texts[n - 4] and got[n - 3] == texts[n - 3]
+    assert got[n - 2] is None and got[n - 1] == "" and len(got) == n
+
+
 def test_packing_keeps_every_token(spark):
     sizes = [(i, (i * 37) % 300) for i in range(500)] + [(900, 1000), (901, 100), (902, 200)]
     df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
