@@ -239,6 +239,31 @@ s as (select sender, count(*) filter (where r) n_replies, count(*) filter (where
 select n_replies, n_replies_broken, n_answered, n_answered_broken, count(*) n_senders from s group by all"""
 
 
+_SP = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
+_DROPPED = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')".format
+_LEADING = rf"^{_SP}*((?:@[\p{{L}}\p{{N}}_]+(?:{_SP}|[:,])*)*)"
+_OPEN = (  # references without semicolon as well
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&(lt|LT);?', '<', 'g'), '&(gt|GT);?', '>', 'g'), '&(quot|QUOT);?', '\"', 'g'), '&#39;?', chr(39), 'g'), '&(amp|AMP);?', '&', 'g')"
+)
+_CANON = f"""m as (select distinct {_ID_SQL.format('tweet_id')} id, {_OPEN.format('text')} x from twcs where text is not null),
+l as (select *, regexp_extract(x, '{_LEADING}', 1) lead, substr(x, length(regexp_extract(x, '{_LEADING}')) + 1) body from m where id is not null),
+f as (select *, list_filter(string_split_regex(regexp_replace(regexp_replace(body, '^{_SP}+', ''), '{_SP}+$', ''), '{_SP}*(?:[,;|\\n]|{_SP}/{_SP}){_SP}*'), lambda p: p <> '') parts from l),
+c as (select id, case when (contains(x, ':') or contains(x, '=')) and len(parts) > 1 and len(list_filter(parts, lambda p: not regexp_matches(p, '^{_SP}*\\p{{L}}[\\p{{L}}\\p{{N}}_ \\t\\-]*[:=]{_SP}*[^\\s\\p{{Z}}]'))) = 0
+ then {_DROPPED('lead')} || chr(31) || array_to_string(list_sort(list_transform(parts, lambda p: {_DROPPED('p')})), chr(31)) else {_DROPPED('x')} end k from f),
+g as (select k, min(id) first, count(distinct id) copies from c where regexp_matches(k, '[\\p{{L}}\\p{{N}}]') group by 1)"""
+P5_SQL = f"""with {_CANON} select distinct lpad(cast(first as varchar), 10, '0') tweet_id_first, lpad(cast(c.id as varchar), 10, '0') tweet_id_copy from c join g on c.k = g.k where copies > 1 and c.id <> first"""
+P5_COPIES_SQL = f"with {_CANON} select copies, count(*) n_texts from g group by 1"
+
+#: The same where no clock is doubted; where one is, this has no rows.
+P3_CORRECTED_SQL = f"""with recursive {P3_SQL.split('with recursive ', 1)[1].split('firsts as', 1)[0]}
+late as (select distinct m.root from m join facts p on m.parent = p.id where m.t < 1e18 and p.t < 1e18 and p.t - m.t > 60),
+firsts as (select root, min(row(t, id)) filter (where role = 'customer' and content) a, max(row(t, id)) filter (where role = 'brand' and content) b, count(*) n
+  from m where not broken and root not in (select root from late) group by 1),
+clocks as ({P3_CLOCKS_SQL})
+select n n_turns, count(*) n_conversations, cast(0 as bigint) n_moved from firsts where b > a
+ and not exists (select 1 from clocks where (n_replies_broken >= 8 and 2 * n_replies_broken > n_replies) or (n_answered_broken >= 8 and 2 * n_answered_broken > n_answered)) group by 1"""
+
+
 def p8_bins(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into the containers of every budget."""
     sizes = written(token_sizes(table(spark, folder, "documents")), "token-sizes")
@@ -253,8 +278,8 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": (p2_found, None),
     "p2_passages": (p2_passages, None),
-    "p5_found": (p5_found, None),
-    "p5_copies": (p5_copies, None),
+    "p5_found": (p5_found, P5_SQL),
+    "p5_copies": (p5_copies, P5_COPIES_SQL),
     "p4_found": (p4_found, P4_SQL),
     "p4_report": (p4_report, P4_REPORT_SQL),
     "p4_weighted": (p4_weighted, P4_WEIGHTED_SQL),
@@ -266,7 +291,7 @@ QUERIES = {
     "p6_redacted": (p6_redacted, None),
     "p6_names": (p6_names, None),
     "p3_found": (p3_found, P3_SQL),
-    "p3_corrected": (p3_corrected, None),
+    "p3_corrected": (p3_corrected, P3_CORRECTED_SQL),
     "p3_clocks": (p3_clocks, P3_CLOCKS_SQL),
     "p8_bins": (p8_bins, None),
     "p8_fill": (p8_fill, None),
