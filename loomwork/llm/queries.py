@@ -143,6 +143,17 @@ i as (select benchmark_id, {_sql_words('customer_message', False)} w from benchm
 dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) g from d where len(w) >= 12),
 ig as (select distinct benchmark_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k+11], ' '))) g from i where len(w) >= 12)
 select distinct doc_id, benchmark_id from dg join ig using (g)"""
+P9_NEAR_SQL = f"""with d as (select doc_id, {_sql_words('text', False)} w from documents),
+i as (select benchmark_id, {_sql_words('customer_message', False)} w from benchmark_cases),
+dp as (select doc_id, unnest(w) term, unnest(range(len(w))) pos from d where len(w) >= 12),
+ip as (select benchmark_id, unnest(w) term, unnest(range(len(w))) q from i where len(w) >= 12),
+h as (select doc_id, benchmark_id, q, pos - q diag from dp join ip using (term)),
+near as (select *, count(*) over (partition by doc_id, benchmark_id order by diag range between current row and 6 following) n from h),
+a as (select distinct doc_id, benchmark_id, diag from near where n >= 12),
+w as (select a.doc_id, a.benchmark_id, a.diag, h.q from a join h on a.doc_id = h.doc_id and a.benchmark_id = h.benchmark_id and h.diag between a.diag and a.diag + 6 group by all),
+r as (select *, q - row_number() over (partition by doc_id, benchmark_id, diag order by q) island, count(*) over (partition by doc_id, benchmark_id, diag) n from w),
+g as (select doc_id, benchmark_id, max(n) n, count(*) run from r where n >= 12 group by doc_id, benchmark_id, diag, island)
+select doc_id, benchmark_id, cast(max(n) as int) n_matched, cast(max(run) as int) longest_run from g group by 1, 2"""
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,7 +295,7 @@ QUERIES = {
     "p4_report": (p4_report, P4_REPORT_SQL),
     "p4_weighted": (p4_weighted, P4_WEIGHTED_SQL),
     "p9_found": (p9_found, P9_SQL),
-    "p9_proximity": (p9_proximity, None),
+    "p9_proximity": (p9_proximity, P9_NEAR_SQL),
     "p10_found": (p10_found, None),
     "p10_by_source": (p10_by_source, None),
     "p6_found": (p6_found, None),
