@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.skew import global_row_number, lookup_join
 from loomwork.session import written
 from loomwork.sources.tables import id_number
 
@@ -108,6 +109,17 @@ def cohorts(df: DataFrame, id_col: str, ordered: list[tuple[str, Column, int]],
     return out
 
 
+def stratified_split(df: DataFrame, id_col: str, label: str, share: float, seed: str, names: tuple[str, str] = ("train", "valid")) -> DataFrame:
+    """``split``: of each label the first ``share`` of its rows in the seeded order, rounded, and the rest.
+
+    The rows are numbered by a distributed merge sort, so a label of a third of all rows is in no single task."""
+    rows = df.withColumn("__o", seeded_order(id_col, seed))
+    numbered = global_row_number(rows, [label], [F.col("__o").asc(), F.col(id_col).asc()], "__rn", "split-order")
+    sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
+    both = lookup_join(numbered, written(sizes, "label-sizes"), label, "__n")
+    return both.select(*df.columns, F.when(F.col("__rn") <= F.round(F.col("__n") * share), names[0]).otherwise(names[1]).alias("split"))
+
+
 def split_by_hash(df: DataFrame, id_col: str, parts: dict[str, float], seed: str) -> DataFrame:
     """``split`` by a hash of the id: no shuffle, the same row is always in the same split."""
     u = F.conv(F.substring(seeded_order(id_col, seed), 1, 8), 16, 10).cast("double") / float(16**8)

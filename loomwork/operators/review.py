@@ -16,7 +16,7 @@ STOPWORDS = tuple(
 
 def tokens(text: Column) -> Column:
     """Lower-case words of three and more letters, without stop words, repeats kept."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b[a-z]{3,}\b"), 0), lambda w: ~w.isin(*STOPWORDS))
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b[a-z]{3,}\b"), 0), lambda w: ~w.isin(*STOPWORDS))
 
 
 def overlap(reply: Column, evidence: Column) -> Column:

@@ -13,6 +13,8 @@ from loomwork.session import written
 HOT_WEIGHT = 50_000
 #: No more hot keys than this are broadcast (as a hash and a number each), whatever the total.
 HOT_KEYS = 2_000
+#: Rows without a key are spread over this many places of an outer join.
+NULL_SPREAD = 1_000
 
 
 def lookup_join(
@@ -32,7 +34,7 @@ def lookup_join(
     weight; a key beyond that bound, or one with an equal hash, is joined all the same.
     Where ``right`` is small the optimizer broadcasts it and nothing is shuffled.
 
-    Null keys match nothing.  ``how`` is ``inner`` or ``left``.
+    Null keys match nothing and are spread as well.  ``how`` is ``inner`` or ``left``.
     """
     hot = (
         right.filter((F.col(weight) >= hot_weight) & F.col(key).isNotNull())
@@ -43,11 +45,16 @@ def lookup_join(
         .limit(HOT_KEYS)
     )
     found = [(r["__h"], r["__reps"]) for r in hot.collect()]  # at most HOT_KEYS pairs of numbers
-    if not found:
+    if not found and how == "inner":
         return left.join(right, key, how)
+    row = F.xxhash64(*[F.col(c) for c in left.columns])
+    # rows without a key match nothing, but an outer join would send them all to one task
+    lost = F.when(F.col(key).isNull(), 1 + F.pmod(row, F.lit(NULL_SPREAD)).cast("int"))
+    if not found:
+        return left.withColumn("__salt", F.coalesce(lost, F.lit(0))).join(right.withColumn("__salt", F.lit(0)), [key, "__salt"], how).drop("__salt")
     hot = F.broadcast(left.sparkSession.createDataFrame(found, "__h bigint, __reps int"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("__reps")).cast("int")
-    a = left.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", F.coalesce(spread, F.lit(0))).drop("__h", "__reps")
+    spread = F.pmod(row, F.col("__reps")).cast("int")
+    a = left.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", F.coalesce(lost, spread, F.lit(0))).drop("__h", "__reps")
     repeats = F.explode(F.sequence(F.lit(0), F.coalesce("__reps", F.lit(1)) - 1))
     b = right.withColumn("__h", F.xxhash64(key)).join(hot, "__h", "left").withColumn("__salt", repeats).drop("__h", "__reps")
     return a.join(b, [key, "__salt"], how).drop("__salt")

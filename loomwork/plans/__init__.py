@@ -6,7 +6,7 @@ from __future__ import annotations
 
 def catalogue() -> dict[str, tuple]:
     """Name -> (callable, SQL or None) of all queries of the core."""
-    from loomwork.plans import general, records, reference
+    from loomwork.plans import files, general, records, reference
 
-    assert records  # its queries are entered in the catalogue of reference
+    assert files and records  # their queries are entered in the catalogue of reference
     return general.QUERIES | reference.QUERIES

@@ -460,6 +460,7 @@ def isolation_violations(spark, d):
 _CHECKS = {
     "id": ("tweet_id is not null", "tweet_id is not null"), "text": ("trim(text) <> ''", "trim(text, ' ') <> ''"), "golden intent": ("golden_intent is not null", "golden_intent is not null"),
     "status": ("verification_status in ('verified','corrected','flagged_ambiguous')",) * 2, "split": ("evaluation_split in ('golden_test','golden_dev')",) * 2,
+    "difficulty": ("case_difficulty in ('representative','rule_conflict','attribution_vs_symptom','fallback_recovery','boundary_disambiguation','short_noisy','multilingual','ambiguous_multi_intent')",) * 2,
     "review is flagged": ("(golden_intent = 'needs_review') = (verification_status = 'flagged_ambiguous')",) * 2,
 }
 

@@ -14,6 +14,10 @@ from loomwork.session import written
 MESSAGE_COLUMNS = ("tweet_id", "author_id", "inbound", "created_at", "text", "response_tweet_id", "in_response_to_tweet_id")
 
 
+#: Written CSV keeps blanks at the ends of values.
+_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def string_schema(columns: tuple[str, ...] = MESSAGE_COLUMNS, corrupt: str | None = "_corrupt_record") -> T.StructType:
     names = [*columns, *([corrupt] if corrupt else [])]
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -58,7 +62,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode:
     """CSV with a header and a fixed order of columns; ``mode`` is ``append``, ``overwrite`` or ``errorifexists``.
 
     An append adds files to the folder, each with its header; rows already there are not read."""
-    df.select(*(columns or df.columns)).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.select(*(columns or df.columns)).write.mode(mode).options(**_CSV).csv(path)
 
 
 def check_columns(df: DataFrame, required: tuple[str, ...]) -> None:
@@ -76,7 +80,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 def write_sorted_csv(df: DataFrame, path: str, order: list, overwrite: bool = False) -> None:
     """Range-partitioned sort, so that the parts in their order are sorted; an empty table gives a header only."""
     mode = "overwrite" if overwrite else "errorifexists"
-    df.orderBy(*order).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    df.orderBy(*order).write.mode(mode).options(**_CSV).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
