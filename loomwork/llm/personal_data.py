@@ -200,15 +200,22 @@ _STREET_WORDS = (
     r"Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Drive|Dr|Terrace|Crescent|Boulevard|Blvd|Square|Gardens|Grove|Mews|Highway|Hwy"
 )
 _STREET_WEAK = r"Way|Close|Place|Pl|Sq|Hill|Row|Walk|Parade|Circle"
-_STREET = re.compile(
+#: The ways to write a street address, by language; a text is searched for those it can hold only.
+_STREETS = {
+    "street en": re.compile(
     rf"(?<![\w.,:-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|FLAT|APT|flat|apt)\s\d+[A-Za-z]?,?\s)?\d{{1,5}}[A-Za-z]?,?\s(?:{_CAP}\s){{1,3}}(?i:{_STREET_WORDS})\b\.?"
     rf"(?:,?\s(?i:Apt|Flat|Unit|Suite)\.?\s\d+[A-Za-z]?)?"
-    rf"|(?<!\w)(?i:Calle|C/|Avenida|Av\.|Avda\.?|Plaza|Paseo|Camino|Rua|Travessa|Praça|Alameda)\s(?:(?i:de|da|do|la|las|los|del|das|dos)\s){{0,2}}(?:{_CAP},?\s){{1,3}}(?:n\.?º?\s?)?\d{{1,5}}[A-Za-z]?(?:,\s?\d{{1,2}}\s?[ºª]\s?[A-Za-z]?)?"
-    rf"|(?<![\w.,:-])\d{{1,5}}(?:\s?bis)?,?\s(?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours)\s(?:(?i:de|du|des|la|le|les)\s|(?i:de\sla|l'|d')\s?){{0,2}}{_CAP}"
-    r"|(?<!\w)[A-ZÄÖÜa-zäöü][\wäöüß-]{2,}(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|straat|laan|plein|gracht|kade|singel|dreef)\s\d{1,5}\s?[a-z]?(?!\w|:\d)"
-    r"|(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]+\s)?(?:Straße|Strasse|Weg|Platz|Allee)\s\d{1,5}\s?[a-z]?(?!\w|:\d)"
-    r"|\d{1,4}丁目(?:\d{1,4}(?:番地?)?(?:\d{1,4}号)?)?|\d{1,4}番地\d{0,4}"
-)
+    ),
+    "street es": re.compile(rf"(?<!\w)(?i:Calle|C/|Avenida|Av\.|Avda\.?|Plaza|Paseo|Camino|Rua|Travessa|Praça|Alameda)\s(?:(?i:de|da|do|la|las|los|del|das|dos)\s){{0,2}}(?:{_CAP},?\s){{1,3}}(?:n\.?º?\s?)?\d{{1,5}}[A-Za-z]?(?:,\s?\d{{1,2}}\s?[ºª]\s?[A-Za-z]?)?"),
+    "street fr": re.compile(rf"(?<![\w.,:-])\d{{1,5}}(?:\s?bis)?,?\s(?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai|route|cours)\s(?:(?i:de|du|des|la|le|les)\s|(?i:de\sla|l'|d')\s?){{0,2}}{_CAP}"),
+    "street de": re.compile(
+        r"(?<!\w)[A-ZÄÖÜa-zäöü][\wäöüß-]{2,}(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|straat|laan|plein|gracht|kade|singel|dreef)\s\d{1,5}\s?[a-z]?(?!\w|:\d)"
+        r"|(?<!\w)(?:[A-ZÄÖÜ][\wäöüß-]+\s)?(?:Straße|Strasse|Weg|Platz|Allee)\s\d{1,5}\s?[a-z]?(?!\w|:\d)"
+    ),
+    "street ja": re.compile(r"\d{1,4}丁目(?:\d{1,4}(?:番地?)?(?:\d{1,4}号)?)?|\d{1,4}番地\d{0,4}"),
+}
+#: What every address of the first kind holds: a number before a capital.
+_NUMBER_CAPITAL = re.compile(r"\d[A-Za-z]?,?\s[A-ZÀ-ÖØ-Þ]")
 _PLACE_LABEL = (
     r"live\sat|living\sat|address\sis|address:|ship\s(?:it|them|that)?\s?to|send\s(?:it|someone|them|somebody)\sto|deliver(?:ed)?\s(?:it\s)?to|never\scame\sto|come\sto|moved\sto|"
     r"vivo\sen|vivo\sna|vivo\sno|moro\sna|moro\sno|habite\sau|habite|wohne\s(?:in\sder|im|am|in)|woon\s(?:op|aan|in)|住所は"
@@ -276,7 +283,7 @@ def needed(pattern: re.Pattern) -> set[str]:
 
 #: Literals without which the patterns of a type cannot match.
 _GATES = {
-    "name": needed(_NAME_AFTER) | needed(_JA_NAME), "street": needed(_STREET) | needed(_STREET_AFTER), "id": needed(_ID), "hello": needed(_GREETING), "born": needed(_BIRTH),
+    "name": needed(_NAME_AFTER) | needed(_JA_NAME), "place": needed(_STREET_AFTER), **{k: needed(p) for k, p in _STREETS.items()}, "id": needed(_ID), "hello": needed(_GREETING), "born": needed(_BIRTH),
 }
 #: Characters that patterns without case take for i, s and k, but whose lower case is another.
 _FOLD = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k", 0x1E9E: "ß"}
@@ -413,12 +420,17 @@ def _find(t: str, gated: bool = True) -> list[Hit]:
         for m in _PHONE.finditer(t):
             if sum(c.isdigit() for c in m.group()) >= 8 and plausible_number(m.group(), "phone"):
                 add(m.start(), m.end(), "phone")
-    if "street" in gates and _DIGIT.search(t):
-        for m in _STREET.finditer(t):
-            if not any(w.lower() in _NO_NAME for w in re.findall(_W, m.group())[:-1] if not w.lower().rstrip("s") in _LITTLE):
-                add(m.start(), m.end(), "street_address")
-        for m in _STREET_AFTER.finditer(t):
-            add(m.start("v"), m.end("v"), "street_address")
+    if _DIGIT.search(t):
+        ways = [p for k, p in _STREETS.items() if k in gates and (not gated or k != "street en" or _NUMBER_CAPITAL.search(t))]
+        done = 0
+        for m in sorted((m for p in ways for m in p.finditer(t)), key=lambda m: m.start()):
+            if m.start() >= done:
+                done = m.end()
+                if not any(w.lower() in _NO_NAME for w in re.findall(_W, m.group())[:-1] if not w.lower().rstrip("s") in _LITTLE):
+                    add(m.start(), m.end(), "street_address")
+        if "place" in gates:
+            for m in _STREET_AFTER.finditer(t):
+                add(m.start("v"), m.end("v"), "street_address")
     if "name" in gates:
         for m in _NAME_AFTER.finditer(t):
             span = _name_span(m, t)
