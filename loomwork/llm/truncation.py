@@ -203,15 +203,20 @@ def endings(documents: DataFrame) -> DataFrame:
 
 def fragments(documents: DataFrame, seen: DataFrame) -> DataFrame:
     """``last``: the last words of ``seen`` that inside the texts are mostly the beginning of longer words."""
-    body = F.regexp_replace(F.regexp_replace("text", _CLOSING_TAGS.pattern, ""), "(?i)" + _MARK.pattern, "")
+    # patterns of the end are tried where they can match; a mark is short, so the last 40 characters show it
+    bare = F.when(F.rtrim("text").endswith(">"), F.regexp_replace("text", _CLOSING_TAGS.pattern, "")).otherwise(F.col("text"))
+    cut = F.greatest(F.length("bare") - 40, F.lit(0))
+    body = F.concat(F.substring("bare", F.lit(1), cut), F.regexp_replace(F.substring("bare", cut + 1, F.lit(40)), "(?i)" + _MARK.pattern, ""))
     found = F.regexp_extract_all(F.lower(body), F.lit(r"[\p{L}\p{N}_'’]+"), 0)
-    inner = documents.filter(F.col("text").isNotNull()).select(found.alias("w")).filter(F.size("w") > 1)
+    # no filter on the words: it would find them a second time
+    inner = documents.filter(F.col("text").isNotNull()).select(bare.alias("bare")).select(found.alias("w"))
     vocabulary = written(
-        inner.select(F.explode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "inner-words"
+        inner.select(F.explode(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "inner-words"
     )
     lasts = seen.filter(F.col("last").isNotNull()).select("last").distinct()
+    lengths = sorted(r["k"] for r in lasts.select(F.length("last").alias("k")).distinct().collect())  # numbers up to the longest word
     begun = vocabulary.filter(F.length("word") > 1).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(60))), lambda k: F.substring("word", F.lit(1), k))).alias("last"), "n"
+        F.explode(F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda k: k < F.length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("last"), "n"
     )
     longer = begun.join(lasts, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("n_longer"))
     whole = vocabulary.select(F.col("word").alias("last"), F.col("n").alias("n_whole"))
