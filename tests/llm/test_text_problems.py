@@ -82,6 +82,27 @@ def test_clock_offsets(spark):
     assert C.clock_offsets(spark.createDataFrame(chain[:5], GAPS)).count() == 0 and C.clock_offsets(spark.createDataFrame([], GAPS)).count() == 0
 
 
+def test_clock_offsets_are_the_least_squares(spark):
+    import numpy as np
+
+    # every clock is ten minutes behind the one it answers, so the last is known only through all others
+    rows = [(100 * k + i, f"s{k}", f"s{k - 1}" if k else "ok", 600 - 3 * (i % 7)) for k in range(5) for i in range(20)]
+    rows += [(900 + i, "z", "s2", -10 * i) for i in range(15)]  # broken only when s2 is moved
+    rows += [(1000 + i, "x", "ok", -30) for i in range(60)]
+    off = {r.sender: r.offset for r in C.clock_offsets(spark.createDataFrame(rows, GAPS)).collect()}
+    at = {f"s{k}": k for k in range(5)}
+    assert set(off) == set(at)
+    c, p = (np.array([at.get(r[i], 5) for r in rows]) for i in (1, 2))
+    gap, o = np.array([float(r[3]) for r in rows]), np.zeros(6)  # the last one stands for the anchors
+    squares = lambda o: np.sum(np.maximum(gap + o[p] - o[c], 0) ** 2) + 1e-3 * np.sum(o * o)
+    for _ in range(100_000):  # small steps downhill, never past the lowest place
+        r = np.maximum(gap + o[p] - o[c], 0)
+        o += (np.bincount(c, r, 6) - np.bincount(p, r, 6) - 1e-3 * o) / 100
+        o[5] = 0
+    got = np.array([off[f"s{k}"] for k in range(5)] + [0.0])
+    assert np.abs(got - o).max() < 1 and squares(got) < squares(o) * 1.01 + 1 and got[4] > 1000
+
+
 def test_corrected_times_decide_the_order(spark):
     rows = []
     for i in range(20):
